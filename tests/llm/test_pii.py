@@ -1,0 +1,72 @@
+import hashlib
+import re
+
+from lattica.llm import contract, pii
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(text):
+    """The contract's base rule with plain regular expressions."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 14 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return [(a, pii.KINDS[k], b) for a, k, b in sorted(out)]
+
+
+CASES = [
+    "", "a@b.c@d.e x", "a@b.c.@d.e", "@x.y", "me@host", "é.a@b.co ü", "1.2.3.4.5.6.7.8.9", "1.2.3", "256.1.1.1 001.02.3.255",
+    "4111 1111 1111 1111", "4111-1111-1111-1111-", "4111  1111 1111 1111", "+1 (234) 567-8901.", "+12", "++1 234 567 8901", "+1234567890123456",
+    "x" * 5000 + "@" + "y" * 5000 + ".z", "12345678901234567890123", "7" * 3000 + ".1.1.1", "a@b..c a@-.- a.@b.c%d@e.f", "1 2 3 4 5 6 7 8 9 0 1 2 3 4",
+]
+
+
+def test_base_spans_equal_plain_regexes():
+    finder = pii.Finder()
+    for text in CASES:
+        assert [x for x in finder.spans(text) if x[1] in pii.BASE_KINDS] == brute(text), text
+
+
+def test_random_strings():
+    import random
+
+    r, finder = random.Random(5), pii.Finder()
+    for _ in range(3000):
+        text = "".join(r.choice("01259+.-@ ()ab%é") for _ in range(r.randrange(60)))
+        assert [x for x in finder.spans(text) if x[1] in pii.BASE_KINDS] == brute(text), text
+
+
+def test_added_kinds():
+    finder = pii.Finder()
+    kinds = lambda t: [(k, t[a:b]) for a, k, b in finder.spans(t) if k not in pii.BASE_KINDS]
+    assert kinds('my token = "abcdef0123456789" end') == [("secret", "abcdef0123456789")]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00.")[0] == ("iban", "DE89 3704 0044 0532 0130 00")
+    assert kinds("see ftp://joe:pw1@host.example/x y") == [("url", "ftp://joe:pw1@host.example/x")]
+    assert kinds("account no. 12345678, ok") == [("account", "12345678")]
+    assert kinds("the accountant came; tokens are fine") == []
+
+
+def test_query(spark):
+    rows = {r["doc_id"]: r for r in contract.op1_private_data(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        want, got = brute(r["text"] or ""), rows[r["doc_id"]]
+        assert got["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+        assert [got[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(x[1] == k for x in want) for k in pii.BASE_KINDS]
+
+
+def test_edges(spark):
+    df = spark.createDataFrame([(1, None, "a"), (None, "x a@b.c", "b"), (1, "", "c"), (2, "a@b.c", "d"), (2, "a@b.c", "d")], "doc_id long, text string, id string")
+    rows = pii.find_private(df).collect()
+    assert sorted((r["doc_id"] or 0, len(r["spans"])) for r in rows) == [(0, 1), (1, 0), (1, 0), (2, 1), (2, 1)]
+    assert pii.find_private(df.limit(0)).count() == 0
+    assert sorted(str(r["text"]) for r in pii.redact(df).collect()) == ["", "None", "[email]", "[email]", "x [email]"]
