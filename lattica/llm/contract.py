@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontam, pii
+from lattica.llm import decontam, pii, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_private_data, op2_decontamination)}
+    return {f.__name__: f for f in (op1_private_data, op2_decontamination, op3_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op3_substring_dedup": substrings.ORACLE}
