@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattica.llm import decontam, pii, substrings
+from lattica.llm import decontam, pii, staging, substrings, tokenstore
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,21 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.shared_folder(spark)
+    tokenstore.write(table(spark, sf_dir, "documents"), path, tokenizer_file())
+    tokenstore.verify(spark, path)
+    return tokenstore.starts(tokenstore.digests(spark, path)).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_private_data, op2_decontamination, op3_substring_dedup)}
+    return {f.__name__: f for f in (op1_private_data, op2_decontamination, op3_substring_dedup, op4_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
