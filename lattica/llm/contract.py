@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattica.llm import decontam, pii, staging, substrings, tokenstore
+from lattica.llm import decontam, mixing, pii, staging, substrings, tokenstore, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,17 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.starts(tokenstore.digests(spark, path)).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_private_data, op2_decontamination, op3_substring_dedup, op4_token_store)}
+    return {f.__name__: f for f in (op1_private_data, op2_decontamination, op3_substring_dedup, op4_token_store, op5_mixing, op6_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op3_substring_dedup": substrings.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op6_url_filter": urls.ORACLE}
