@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lattica.llm import staging
-from lattica.llm.bytetext import Kit, Words, gram_hashes, nonspace_bytes, slices, string_view
+from lattica.llm.bytetext import Kit, Words, gram_hashes, mix, nonspace_bytes, slices, string_view
 
 #: Words in a block of documents within which repeats are found before anything is shuffled.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_500_000
 #: Input bytes for each hash range; the number of ranges grows with the input.
 RANGE_BYTES = 6 << 20
 #: Stands for a null id; it comes before every other.
@@ -99,7 +99,7 @@ class _Block:
 
 
 def repeated_starts(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(id long, starts binary): the starts, as 32-bit numbers, of windows whose words also start earlier; an id may have several rows."""
+    """(id long, starts binary), a row for each id that has any: the starts, as 32-bit numbers, of windows whose words also start earlier."""
     ranges = staging.pieces_for(docs, RANGE_BYTES)
 
     def scan(batches):
@@ -122,9 +122,9 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, window: int) ->
                 yield rows()
         yield rows()
 
-    def find(key, batches_of_range):
+    def find(pdf):
         repeats, ids, starts, hashes = [], [], [], []
-        for fresh, entries in zip(batches_of_range["fresh"], batches_of_range["entries"]):
+        for fresh, entries in zip(pdf["fresh"], pdf["entries"]):
             i, s, h = unpack(entries, fresh)
             if fresh:
                 ids.append(i), starts.append(s), hashes.append(h)
@@ -143,17 +143,26 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, window: int) ->
                 first = own[np.maximum.accumulate(np.where(like, 0, np.arange(len(own))))]
                 own = own[(ids[own] != ids[first]) | (starts[own] != starts[first])]
                 repeats.append((ids[own], starts[own]))
-        if not repeats:
-            return pd.DataFrame({"id": [], "starts": []})
-        ids, starts = (np.concatenate(x) for x in zip(*repeats))
-        order = np.argsort(ids, kind="stable")
+        out = []
+        if repeats:
+            ids, starts = (np.concatenate(x) for x in zip(*repeats))
+            shelf = (mix(ids.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+            order = np.lexsort((starts, ids, shelf))
+            cuts = np.searchsorted(shelf[order], np.arange(ranges + 1))
+            out = [(k, pack(ids[own], starts[own], None)) for k in range(ranges) if len(own := order[cuts[k] : cuts[k + 1]])]
+        return pd.DataFrame({"shelf": [x[0] for x in out], "entries": [x[1] for x in out]})
+
+    def gather(pdf):
+        ids, starts = (np.concatenate(x) for x in zip(*(unpack(e, False)[:2] for e in pdf["entries"])))
+        order = np.lexsort((starts, ids))
         ids, starts = ids[order], starts[order].astype("<i4")
-        cuts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1, append=ids[-1:] + 1)) if len(ids) else np.zeros(1, np.int64)
+        cuts = np.append(np.flatnonzero(np.diff(ids, prepend=ids[0] ^ 1)), len(ids))
         return pd.DataFrame({"id": ids[cuts[:-1]], "starts": [starts[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
 
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     packed = source.mapInArrow(scan, "range int, fresh boolean, entries binary")
-    return packed.groupBy("range").applyInPandas(lambda key, pdf: find(key, pdf), "id long, starts binary")
+    found = packed.groupBy("range").applyInPandas(find, "shelf int, entries binary")
+    return found.groupBy("shelf").applyInPandas(gather, "id long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -167,7 +176,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     source = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    starts = repeated_starts(docs, id_col, text_col, window).groupBy(F.col("id").alias("key")).agg(F.collect_list("starts").alias("starts"))
+    starts = repeated_starts(docs, id_col, text_col, window).withColumnRenamed("id", "key")
     joined = source.join(starts, "key", "left").select("id", "text", "starts")
 
     def cut(batches):
@@ -181,7 +190,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 a, n = int(words.first[row]), int(words.counts[row])
                 step = np.zeros(n + 1, np.int32)
                 if found:
-                    s = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in found]))
+                    s = np.unique(np.frombuffer(found, "<i4"))
                     s = s[s + window <= n]
                     step[s] += 1
                     step[s + window] -= 1
