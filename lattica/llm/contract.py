@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattica.llm import decontam, mixing, pii, staging, substrings, tokenstore, urls
+from lattica.llm import decontam, mixing, ordinal, pii, staging, substrings, tokenstore, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +44,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.fit(docs, ordinal.ratings_of(table(spark, sf_dir, "labels")), grades=3)
+    rows = docs.select("doc_id", ordinal.graded(docs, model).alias("g"))
+    return rows.select("doc_id", F.col("g.expected").alias("expected_grade"), F.col("g.tail").alias("p_tail"), (F.col("g.tail") >= ordinal.SELECT).alias("selected"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_private_data, op2_decontamination, op3_substring_dedup, op4_token_store, op5_mixing, op6_url_filter)}
+    return {f.__name__: f for f in (op1_private_data, op2_decontamination, op3_substring_dedup, op4_token_store, op5_mixing, op6_url_filter, op7_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
