@@ -12,60 +12,155 @@ row, doc, n_tokens, names: 32 bytes each), manifest/ (part, rows, tokens, root).
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import sys
+import types
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lattica.llm import staging
-from lattica.llm.bytetext import Kit, Powers, gram_hashes, mix, slices
+from lattica.llm.bytetext import Kit, Powers, gram_hashes, mix, prefix_sums, slices, string_view
 
 #: Ids that the rolling hash sees; one in MEAN ids ends a chunk; no chunk is longer than LONGEST.
 ROLL, MEAN, LONGEST = 16, 256, 4096
-#: Text pieces whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Text pieces whose ids a Python worker remembers before it starts anew: about 50 MB.
+REMEMBERED = 1_000_000
 #: Chunk names that a task remembers, so that it sends a chunk's ids once.
 SENT = 200_000
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library.
+    """Ids of whole texts by the tokenizers library, each distinct piece of text encoded once.
 
-    The tokenizer's own split puts a boundary before every space that a character other than white space follows, so
-    the pieces between such places have their ids whatever stands around them. Each distinct piece is encoded once.
+    The tokenizer's own split never joins characters over certain places: between ASCII letters (or two-byte letters of
+    U+00C0 to U+00FF), digits and signs of different kinds, before white space that follows one of these, before a
+    space that one of these follows, and after a lone line break between two of them; not after an apostrophe. Cut
+    there, a piece has the same ids alone as in its text. Texts that hold a string of an added token, or no such place,
+    go through the library whole. Pieces are known by two 64-bit hashes.
     """
 
     def __init__(self, file: str, dtype: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(file), dtype, {}
-        self.cut = re.compile(r"(?= [^\s\x1c-\x1f])").split
-        self.careful = re.compile(r" [\s\x1c-\x1f]").search
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        pieces = []
-        for t in texts:
-            if self.careful(t):  # a space before other white space
-                pieces.append(self.cut(t))
-            else:
-                first, *rest = t.split(" ")
-                pieces.append([first, *map(" ".__add__, rest)])
-        new = list({p for x in pieces for p in x if p not in known})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, x)) for x in pieces]
+        self.tokenizer, self.dtype = Tokenizer.from_file(file), dtype
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # each piece comes once; its own cache only costs
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kit = Kit()
+        self.breaker = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # kinds of bytes: 1 letter, 2 digit, 3 sign, 4 space, 5 line break, 6 other white space, 0 not known
+        kind = np.zeros(256, np.uint8)
+        kind[33:127], kind[48:58], kind[65:91], kind[97:123] = 3, 2, 1, 1
+        kind[32], kind[10], kind[[9, 11, 12, 13]] = 4, 5, 6
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending keys, and where a piece's row is
+        self.checks, self.lengths = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+        self.starts, self.flat, self.filled = np.zeros(1024, np.int64), np.zeros(1 << 16, self.dtype), 0
+
+    def borders(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Starts of pieces: of each text with bytes, and of the places above."""
+        n = len(raw)
+        kind = self.kind[raw]
+        # a two-byte letter is led by C3; its signs are C3 97 and C3 B7
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        plain = (kind >= 1) & (kind <= 3)
+        out = np.zeros(n, bool)
+        before, now = kind[:-1], kind[1:]
+        out[1:] = plain[:-1] & plain[1:] & (before != now) & (raw[:-1] != 39)
+        out[1:] |= plain[:-1] & (now >= 4)
+        out[:-1] |= (kind[:-1] == 4) & plain[1:]
+        if n > 2:
+            out[2:] |= plain[:-2] & (kind[1:-1] == 5) & plain[2:]
+        out[at[:-1][at[:-1] < at[1:]]] = True
+        return np.flatnonzero(out)
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Encode new pieces. Those without white space but for a first space stand in one text with line breaks between them, which stay tokens of their own."""
+        base, new = len(self.keys), len(starts)
+        while len(self.checks) < base + new:
+            self.checks, self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.checks, self.lengths, self.starts))
+        self.checks[base : base + new] = checks
+        body = raw.tobytes()
+        pieces = [body[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        odd = re.compile(rb".[\t-\r ]|[\t-\r\x1c-\x1f\xc2\xe1-\xe3]", re.S).search
+        easy = [k for k, p in enumerate(pieces) if not odd(p) and p != b" "] if len(self.breaker) == 1 else []
+        hard = sorted(set(range(new)) - set(easy))
+        for k in range(0, len(easy), 2048):
+            own = easy[k : k + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces[i].decode() for i in own)], add_special_tokens=False)[0].ids, np.int64)
+            ends_at = np.append(np.flatnonzero(ids == self.breaker[0]), len(ids))
+            if len(ends_at) != len(own):
+                hard += own
+                continue
+            starts_at = np.append(0, ends_at[:-1] + 1)
+            where = base + np.array(own)
+            self.lengths[where] = ends_at - starts_at
+            self.starts[where] = self.filled + np.cumsum(ends_at - starts_at) - (ends_at - starts_at)
+            self._append(ids[ids != self.breaker[0]])
+        for k in range(0, len(hard), 2048):
+            own = hard[k : k + 2048]
+            for i, e in zip(own, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in own], add_special_tokens=False)):
+                self.lengths[base + i], self.starts[base + i] = len(e.ids), self.filled
+                self._append(np.array(e.ids, np.int64))
+        self.keys, self.places = np.concatenate([self.keys, keys]), np.concatenate([self.places, base + np.arange(new)])
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.places = self.keys[order], self.places[order]
+
+    def _append(self, ids: np.ndarray) -> None:
+        while len(self.flat) < self.filled + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+
+    def encode(self, texts) -> list[np.ndarray]:
+        """The ids of each text of an Arrow string array; null is the empty text."""
+        raw, at = string_view(texts)
+        body = raw.tobytes()
+        if any(x in body for x in self.added):
+            out = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            return [np.array(e.ids, self.dtype) for e in out]
+        if not len(raw):
+            return [np.zeros(0, self.dtype)] * len(texts)
+        if len(self.keys) > REMEMBERED:
+            self.clear()
+        starts = self.borders(raw, at)
+        ends = np.append(starts[1:], len(raw))
+        with np.errstate(over="ignore"):
+            size = (ends - starts).astype(np.uint64)
+            hashes = []
+            for powers in (self.kit.word.to(len(raw) + 1), self.kit.gram2.to(len(raw) + 1)):
+                sums = prefix_sums(self.kit.codes[raw] * powers.up[: len(raw)])
+                hashes.append(mix((sums[ends] - sums[starts]) * powers.down[starts] + size))
+        keys, first, place = np.unique(hashes[0], return_index=True, return_inverse=True)
+        checks = hashes[1][first]
+        index = np.full(len(keys), -1)
+        if len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            index = np.where(self.keys[spot] == keys, self.places[spot], -1)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            index[new] = len(self.keys) + np.arange(len(new))
+            self._learn(raw, starts[first[new]], ends[first[new]], keys[new], checks[new])
+        if (self.checks[index] != checks).any() or (checks[place] != hashes[1]).any():  # two pieces with one hash
+            self.clear()
+            out = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            return [np.array(e.ids, self.dtype) for e in out]
+        own = index[place]
+        counts = self.lengths[own]
+        sums = prefix_sums(counts)
+        ids = self.flat[np.repeat(self.starts[own] - sums[:-1], counts) + np.arange(sums[-1])]
+        bounds = sums[np.searchsorted(starts, at)]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def cuts(ids: np.ndarray, at: np.ndarray, powers: Powers) -> list[list[int]]:
@@ -108,13 +203,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def scan(batches):
-        encoder = Encoder(tokenizer, dtype)
+        # a worker runs one task after another: the next one goes on with what this one knows
+        worker = sys.modules.setdefault("lattica_worker", types.ModuleType("lattica_worker")).__dict__
+        encoder = worker.pop((tokenizer, dtype), None) or Encoder(tokenizer, dtype)
         end = np.array([end_id], dtype).tobytes()
         wide = np.dtype(dtype).itemsize
         powers = Kit().gram
         sent: set[bytes] = set()
-        for batch in slices(batches, 1 << 22):
-            streams = [x + end for x in encoder.encode(t or "" for t in batch.column(1).to_pylist())]
+        for batch in slices(batches):
+            streams = [x.tobytes() + end for x in encoder.encode(batch.column(1))]
             bounds = np.concatenate([[0], np.cumsum([len(x) // wide for x in streams])])
             stops = cuts(np.frombuffer(b"".join(streams), dtype), bounds, powers)
             rows, counts, names = [], [], []
@@ -147,6 +244,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                 ],
                 [*(f for k, f in enumerate(batch.schema.names) if k != 1), "n_tokens", "name", "body"],
             )
+        worker[tokenizer, dtype] = encoder
 
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text") + ", n_tokens long, name binary, body binary"

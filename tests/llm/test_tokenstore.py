@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.llm import contract, tokenstore
@@ -18,9 +19,14 @@ def whole(texts):
 
 def test_pieces_have_the_ids_of_the_whole_text():
     r = random.Random(4)
-    texts = ["".join(r.choice(["a", "Bc", " ", "  ", "\n", "\t", "é", "12", "'s", "!", " ", " ", "\x1c", "<|endoftext|>", "漢", "😀"]) for _ in range(r.randrange(30))) for _ in range(3000)]
+    some = ["a", "Bc", " ", "  ", "\n", "\n\n", "\t", "é", "ß", "×", "12", "'s", "'", "!", " ", " ", "\x1c", "\r\n", "漢", "😀", "\xa0", "\u2003", "—", "“", "²", "1"]
     encoder = tokenstore.Encoder(contract.tokenizer_file(), "<u2")
-    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [x[:-1] for x in whole(texts)]
+    for extra in ([], ["<|endoftext|>"]):
+        texts = ["".join(r.choice(some + extra) for _ in range(r.randrange(30))) for _ in range(6000)] + ["", None]
+        for k in range(0, len(texts), 1000):
+            got = encoder.encode(pa.array(texts[k : k + 1000]))
+            for t, x, y in zip(texts[k : k + 1000], got, whole(texts[k : k + 1000])):
+                assert x.tolist() == y[:-1], repr(t)
 
 
 def test_query(spark):
