@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattica.llm import decontam, mixing, ngramjoin, ordinal, pii, staging, substrings, tokenstore, urls
+from lattica.llm import decontam, licences, media, mixing, ngramjoin, ordinal, pii, staging, substrings, tokenstore, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100).withColumnRenamed("component", "component_id")
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.scan(table(spark, sf_dir, "documents")))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_private_data, op2_decontamination, op3_substring_dedup, op4_token_store, op5_mixing, op6_url_filter, op7_quality, op8_ngram_join)}
+    return {f.__name__: f for f in (op1_private_data, op2_decontamination, op3_substring_dedup, op4_token_store, op5_mixing, op6_url_filter, op7_quality, op8_ngram_join, op9_licences, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op6_url_filter": urls.ORACLE, "op8_ngram_join": ngramjoin.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op6_url_filter": urls.ORACLE, "op8_ngram_join": ngramjoin.ORACLE, "op9_licences": licences.ORACLE}
