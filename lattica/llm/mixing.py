@@ -91,3 +91,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.when(passes > 0, position).alias("position"),
         *(F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)),
     ).orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """docs with each row as often as the mix takes it (0 times: left out), range-sorted by training position; later passes follow at the position plus a pass's share of the curriculum.
+
+    Rows that share an id are taken alike, as the one that comes first in the mix. Columns are those of docs.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    plan = mix(docs, id_col, text_col, source_col, **settings).filter("taken > 0")
+    due = F.struct(F.col("position"), (F.col("taken") / F.col("size")).cast("int").alias("passes"), F.least(F.lit(1.0), F.col("source_size") / F.col("target")).alias("step"))
+    plan = plan.groupBy(key.alias("mix_key")).agg(F.min(due).alias("due"))
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("mix_key")).join(plan, "mix_key")
+    every = rows.select("doc", "due", F.explode(F.sequence(F.lit(0), F.col("due.passes") - 1)).alias("again"))
+    at = F.col("due.position") + F.col("again") * F.col("due.step")
+    spark = docs.sparkSession
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return every.select("doc", at.alias("at")).repartitionByRange(pieces, "at").sortWithinPartitions("at").select("doc.*")
