@@ -17,15 +17,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
+#: Lets Spark delete a plan's shuffle files when its execution is over, not when the driver next collects garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, codec: str = "zstd", partition_by: str | None = None) -> None:
+    """Write df as Parquet at path; what it shuffled is deleted afterwards."""
+    spark = df.sparkSession
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        writer = df.write.option("compression", codec)
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
+def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table written in the shared folder and read back: later steps start from it, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    writer = df.write.option("compression", codec)
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    write(df, path, codec)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -266,15 +266,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
     raw = f"{path}/raw"
     kinds = dealt.mapInArrow(once, schema).withColumn("kind", F.when(F.col("name").isNull(), "recipe").otherwise("chunk"))
-    kinds.write.partitionBy("kind").option("compression", "zstd").parquet(raw)
+    staging.write(kinds, raw, partition_by="kind")
     both = spark.read.schema(kinds.schema).parquet(raw)
     # recipes are small: into ascending order of id, numbered by file
     recipes = both.filter("kind = 'recipe'").drop("kind", "name")
     order = [F.col("doc").asc_nulls_first(), F.col("body")]
     parts = recipes.repartitionByRange(pieces, *order).sortWithinPartitions(*order)
-    parts.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()).withColumnRenamed("body", "names").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    staging.write(parts.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()).withColumnRenamed("body", "names"), f"{path}/recipes")
 
-    _roots(spark, path).write.parquet(f"{path}/manifest")
+    staging.write(_roots(spark, path), f"{path}/manifest")
 
 
 def _roots(spark: SparkSession, path: str) -> DataFrame:
@@ -295,7 +295,11 @@ def _roots(spark: SparkSession, path: str) -> DataFrame:
 def verify(spark: SparkSession, path: str) -> None:
     """Raise unless the recipes give the manifest's roots again."""
     told = spark.read.parquet(f"{path}/manifest")
-    wrong = told.exceptAll(_roots(spark, path)).count() + _roots(spark, path).exceptAll(told).count()
+    again = _roots(spark, path).select("part", *(F.col(c).alias(f"{c}_again") for c in ("rows", "tokens", "root")))
+    same = F.lit(True)
+    for c in ("rows", "tokens", "root"):
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_again"))
+    wrong = told.join(again, "part", "full").filter(~same).count()
     if wrong:
         raise ValueError(f"{wrong} recipe files don't fit the manifest")
 
@@ -361,34 +365,38 @@ def digests(spark: SparkSession, path: str, vocabulary: int = 1 << 16) -> DataFr
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def reduced(batches):
+        wide = np.dtype(dtype).itemsize
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            n, crc = [], []
-            for name, ids in zip(names, batch.column(1).to_pylist()):
-                if hashlib.sha256(ids).digest() != name:
+            names, body = batch.column(0).cast(pa.large_binary()), batch.column(1).cast(pa.large_binary())
+            at = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
+            raw = memoryview(body.buffers()[2])[at[0] : at[-1]] if len(body) else b""
+            at = at - at[0] if len(body) else at
+            full = memoryview(np.frombuffer(raw, dtype).astype("<u4")).cast("B")
+            told, crc = names.to_pylist(), []
+            for name, a, b in zip(told, at[:-1].tolist(), at[1:].tolist()):
+                if hashlib.sha256(raw[a:b]).digest() != name:
                     raise ValueError(f"chunk {name.hex()} doesn't hold what its name says")
-                x = np.frombuffer(ids, dtype)
-                n.append(len(x))
-                crc.append(zlib.crc32(x.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["name", "n", "crc"])
+                crc.append(zlib.crc32(full[4 * a // wide : 4 * b // wide]))
+            yield pa.RecordBatch.from_arrays([pa.array(told, pa.binary()), pa.array(np.diff(at) // wide, pa.int64()), pa.array(crc, pa.int64())], ["name", "n", "crc"])
 
     def combined(batches):
         shift = CrcShift()
         for batch in batches:
-            told = batch.column(batch.schema.get_field_index("parts")).to_pylist()
-            n, crc = [], []
-            for parts in told:
-                total = value = 0
-                for p in parts:
-                    value = shift.combine(value, p["crc"], 4 * p["n"])
-                    total += p["n"]
-                n.append(total)
-                crc.append(value)
-            want = batch.column(batch.schema.get_field_index("n_tokens")).to_pylist()
-            if want != n:
+            parts = batch.column(batch.schema.get_field_index("parts"))
+            want = batch.column(batch.schema.get_field_index("n_tokens")).to_numpy(zero_copy_only=False)
+            ends = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+            own = parts.values
+            n, crc = (own.field(k).to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for k in (1, 2))
+            ends = ends - ends[0]
+            sums = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+            if (sums[ends[1:]] - sums[ends[:-1]] != want).any():
                 raise ValueError("a recipe's chunks don't add up to its ids")
+            # what a chunk adds to its document's sum depends on how many bytes follow it there
+            after = np.repeat(sums[ends[1:]], np.diff(ends)) - sums[1:]
+            added = np.concatenate([[0], np.bitwise_xor.accumulate(shift.shifted(crc.astype(np.int64), 4 * after))]).astype(np.int64)
+            value = added[ends[1:]] ^ added[ends[:-1]]
             keep = [k for k, f in enumerate(batch.schema.names) if f != "parts"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(crc, pa.int64())], [*(batch.schema.names[k] for k in keep), "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(value, pa.int64())], [*(batch.schema.names[k] for k in keep), "ids_crc32"])
 
     chunks = _chunks(spark, path).mapInArrow(reduced, "name binary, n long, crc long")
     kept = recipes(spark, path)
@@ -432,14 +440,18 @@ class CrcShift:
         self.tables.append(own)
         self.matrix = [self._apply(self.matrix, c) for c in self.matrix]
 
-    def combine(self, first: int, second: int, size: int) -> int:
-        k = 0
-        while size and first:
+    def shifted(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Each value carried over as many zero bytes."""
+        values, k = values.copy(), 0
+        while (sizes >> k).any():
             if len(self.tables) <= k:
                 self._grow()
-            if size & 1:
-                a, b, c, d = self.tables[k]
-                first = a[first & 255] ^ b[first >> 8 & 255] ^ c[first >> 16 & 255] ^ d[first >> 24]
-            size >>= 1
+            own = np.flatnonzero(sizes >> k & 1)
+            a, b, c, d = (np.array(t, np.int64) for t in self.tables[k])
+            x = values[own]
+            values[own] = a[x & 255] ^ b[x >> 8 & 255] ^ c[x >> 16 & 255] ^ d[x >> 24]
             k += 1
-        return first ^ second
+        return values
+
+    def combine(self, first: int, second: int, size: int) -> int:
+        return int(self.shifted(np.array([first], np.int64), np.array([size], np.int64))[0]) ^ second
