@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingle sets with a similarity of 0.8 or more connect: that with the least id. Rows without an id stay; rows that share one are one document."""
-    groups = ngramjoin.near_groups(docs, words=5, num=80, den=100)
+    groups = ngramjoin.near_groups(docs, words=5, num=80, den=100, common=4000)
     gone = groups.filter("doc_id <> component").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 

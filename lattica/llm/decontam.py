@@ -78,7 +78,8 @@ def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> bytes:
     return out.tobytes()
 
 
-def _tester(data: bytes, bits: int):
+def tester(data: bytes, bits: int):
+    """A test of 64-bit hashes against a bitmap."""
     words = np.frombuffer(data, np.uint64)
 
     def test(hashes: np.ndarray) -> np.ndarray:
@@ -108,7 +109,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     def scan(batches):
         kit = Kit()
         table, small = kit.codes[lowered()], lowered()
-        has_print, has_key = _tester(prints.value, bits), _tester(keys.value, bits)
+        has_print, has_key = tester(prints.value, bits), tester(keys.value, bits)
         kind = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("words", pa.string())]))
         for batch in slices(batches):
             raw, at = string_view(batch.column(1))

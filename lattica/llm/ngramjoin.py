@@ -2,33 +2,38 @@
 
 Two sets of x <= y shingles whose Jaccard similarity is at least num/den differ in at most x * (den - num) / num shingles.
 In a size band all sets are cut into the same number of parts, more than that; so two similar sets agree in whole parts,
-and one of the first few that aren't empty is among them. Sets that agree in a part are candidates; chains of candidates
-in a band make a tile. Only sets in tiles of two or more are looked at again. In a tile, the bits in which two hashed
-bitmaps differ bound the overlap from above; pairs that pass, and aren't connected already, are decided by intersecting
-the sorted arrays. Large tiles are dealt to blocks: each block also has the tile's pivot, the set that shares parts with
-the most others, and what isn't connected to the pivot afterwards meets all other blocks, a block at a time.
+and one of the first few that aren't empty is among them. The parts hold the rarer shingles, as far as these suffice. Sets that agree in a part are candidates; chains of candidates
+in a band are compared by hashed bitmaps: the bits in which two differ bound the overlap from above. What the bitmaps
+leave connected makes a tile; only sets in tiles of two or more are looked at again. In a tile, pairs that the bitmaps
+don't rule out, and that aren't connected already, are decided by intersecting the sorted arrays. Large tiles are dealt
+to blocks: each block also has the tile's pivot, the set that shares parts with the most others, and what isn't connected
+to the pivot afterwards meets all other blocks, a block at a time.
 
 Equal sets are one class from the start, whatever their number, and no list of pairs is made. Nothing is capped.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lattica.llm import components, staging
+from lattica.llm import components, decontam, staging
 from lattica.llm.bytetext import U64, Kit, Words, gram_hashes, lowered, mix, nonspace_bytes, slices, string_view
 
-#: Sets in a block of a tile.
-BLOCK = 1024
-#: Parts of a band for each part that its largest sets need.
-SPARE, SPARE_LEAST = 1.15, 4
-#: Most and least bits of a bitmap; bits for each shingle of the largest set.
-BITS_MOST, BITS_LEAST, BITS_EACH = 1 << 14, 64, 8
+#: Bitmaps in a block of a tile; sets in a block of a tile, and shingles.
+BLOCK_BITMAPS, BLOCK, BLOCK_SHINGLES = 8192, 4096, 2_000_000
+#: Parts of a band for each part that its largest sets need: of all shingles, and of the rarer ones; and so many more.
+SPARE, SPARE_RARE, SPARE_LEAST = 1.15, 2.6, 8
+#: Bands of sets no larger than this have a part for each shingle: few shingles in few parts would too often meet in one.
+SMALL = 32
+#: A common shingle is in so many texts at least. Counts go over all texts, from blocks of COMMON_BLOCK shingles; of a shingle that a block has less than COMMON_SEEN times, the block says nothing.
+COMMON_LEAST, COMMON_SEEN, COMMON_BLOCK = 16, 2, 4_000_000
+#: Bits of the map of common shingles: 2 MB, whatever the corpus.
+COMMON_BITS = 24
+#: Most and least bits of a bitmap; bits for each shingle of a band's largest sets.
+BITS_MOST, BITS_LEAST, BITS_EACH = 1 << 16, 64, 2
 
 
 def band_starts(most: int = 1 << 40) -> np.ndarray:
@@ -80,10 +85,45 @@ def class_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple(mix(_wrapping_sums(row, mix(hashes + U64(salt)), len(bounds) - 1) + size) for salt in (11, 12))
 
 
-def part_keys(hashes: np.ndarray, bounds: np.ndarray, num: int, den: int):
+def _parts_of(most: np.ndarray, spare: float, need_most: np.ndarray) -> np.ndarray:
+    """Parts of bands whose largest sets have `most` shingles and need `need_most` parts; 0 stands for a part for each shingle."""
+    return np.where(most <= SMALL, 0, np.ceil(need_most * spare).astype(np.int64) + SPARE_LEAST)
+
+
+def _first_parts(element: np.ndarray, entry: np.ndarray, band: np.ndarray, parts: np.ndarray, need: np.ndarray, salt: int):
+    """(owner, key) of the first `need` parts that aren't empty of each entry, and how many there are in all; element and entry run along the sets' hashes."""
+    turned = mix(element + ((band[entry].astype(U64) + U64(1)) << U64(40)) + U64(salt))
+    mark = (U64(salt) << U64(56)) + (band.astype(U64) << U64(32))
+    # small sets: a part is a shingle, in the order of the turned hashes
+    own = np.flatnonzero(parts[entry] == 0)
+    own = own[np.lexsort((turned[own], entry[own]))]
+    count = np.bincount(entry[own], minlength=len(parts))
+    rank = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    own = own[rank < need[entry[own]]]
+    small_owner, small_keys = entry[own], mix(turned[own] + mark[entry[own]])
+    # others: parts by hash
+    offset = np.concatenate([[0], np.cumsum(parts)])
+    own = np.flatnonzero(parts[entry] > 0)
+    place = offset[entry[own]] + (turned[own] % np.maximum(parts[entry[own]], 1).astype(U64)).astype(np.int64)
+    sums = _wrapping_sums(place, mix(turned[own]), offset[-1])
+    full = np.bincount(place, minlength=offset[-1]) > 0
+    owner = np.repeat(np.arange(len(parts)), parts)
+    before = np.concatenate([[0], np.cumsum(full)])
+    used = full & (before[1:] - before[offset[:-1]][owner] <= need[owner])
+    number = np.arange(offset[-1]) - offset[owner]
+    keys = mix(sums + mix(mark[owner] + number.astype(U64)))[used]
+    owner, keys = np.concatenate([owner[used], small_owner]), np.concatenate([keys, small_keys])
+    order = np.argsort(owner, kind="stable")
+    return owner[order], keys[order].astype(np.int64), before[offset[1:]] - before[offset[:-1]] + count
+
+
+def part_keys(hashes: np.ndarray, bounds: np.ndarray, num: int, den: int, common: np.ndarray):
     """(row, band, keys, whole): for sets that can have a similar other, the keys of the parts to compare in each band.
 
-    whole is False for a set with fewer parts that aren't empty than it needs; then its keys don't suffice.
+    Parts hold the rarer shingles only, so that a passage which many texts share brings none of them together. A set with
+    too few such parts, or one that may be similar to such a set, is cut once more with all its shingles. `common` says
+    which hashes are common; any rule that goes by the hash alone gives complete results. whole is False for a set that
+    has too few parts even so; then its keys don't suffice.
     """
     starts, size = band_starts(), np.diff(bounds)
     band = np.searchsorted(starts, np.maximum(size, 1), "right") - 1
@@ -93,23 +133,29 @@ def part_keys(hashes: np.ndarray, bounds: np.ndarray, num: int, den: int):
     band = np.concatenate([band[live], band[guest] + 1])
     if not len(row):
         return row, band, [], np.zeros(0, bool)
-    parts = np.ceil(needed(starts[band + 1] - 1, num, den) * SPARE).astype(np.int64) + SPARE_LEAST
-    offset = np.concatenate([[0], np.cumsum(parts)])
-    count = size[row]
-    entry = np.repeat(np.arange(len(row)), count)
-    element = hashes[np.repeat(bounds[row] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-    turned = mix(element + (band[entry].astype(U64) << U64(40)))
-    place = offset[entry] + (turned % parts[entry].astype(U64)).astype(np.int64)
-    sums = _wrapping_sums(place, mix(turned), offset[-1])
-    full = np.bincount(place, minlength=offset[-1]) > 0
-    owner = np.repeat(np.arange(len(row)), parts)
-    rank = np.cumsum(full) - np.concatenate([[0], np.cumsum(full)])[offset[:-1]][owner]
-    need = needed(size[row], num, den)
-    used = full & (rank <= need[owner])
-    number = np.arange(offset[-1]) - offset[owner]
-    keys = mix(sums + mix((band[owner].astype(U64) << U64(32)) + number.astype(U64)))[used]
-    counts = np.bincount(owner[used], minlength=len(row))
-    return row, band, np.split(keys.astype(np.int64), np.cumsum(counts)[:-1]), counts >= need
+    need, most = needed(size[row], num, den), needed(starts[band + 1] - 1, num, den)
+
+    def elements(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = size[rows]
+        spot = np.repeat(bounds[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        return spot, np.repeat(np.arange(len(rows)), count)
+
+    spot, entry = elements(row)
+    rare = ~common[spot]
+    owner, keys, full = _first_parts(hashes[spot[rare]], entry[rare], band, _parts_of(starts[band + 1] - 1, SPARE_RARE, most), need, 1)
+    enough = full >= need
+    owner, keys = owner[enough[owner]], keys[enough[owner]]
+    # a set similar to one that hasn't enough has less than twice as many as it needs
+    again = np.flatnonzero(full < 2 * need)
+    whole = np.ones(len(row), bool)
+    if len(again):
+        spot, entry = elements(row[again])
+        more, more_keys, full = _first_parts(hashes[spot], entry, band[again], _parts_of(starts[band[again] + 1] - 1, SPARE, most[again]), need[again], 2)
+        whole[again] = full >= need[again]
+        owner, keys = np.concatenate([owner, again[more]]), np.concatenate([keys, more_keys])
+        order = np.argsort(owner, kind="stable")
+        owner, keys = owner[order], keys[order]
+    return row, band, np.split(keys, np.searchsorted(owner, np.arange(1, len(row)))), whole
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -121,31 +167,28 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 64-bit words for each set, with a bit for each shingle."""
-    most = max(map(len, sets))
+def bitmap(hashes: np.ndarray, most: int) -> bytes:
+    """A bit for each shingle, in a bitmap whose length goes by the largest size of the band."""
     bits = BITS_LEAST
     while bits < BITS_MOST and bits < BITS_EACH * most:
         bits *= 2
-    out = np.zeros((len(sets), bits), bool)
-    for k, s in enumerate(sets):
-        out[k, (s % U64(bits)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+    out = np.zeros(bits, bool)
+    out[(hashes % U64(bits)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
 
 
-def links(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None, first: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of similar sets that connect all that similar pairs connect.
+def links(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None, group: np.ndarray, side: np.ndarray | None, first: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that connect all that similar pairs connect; without sets, all that the bitmaps don't rule out.
 
     group: sets of the same number are connected already. side: where given, only pairs of different sides count.
     first: sets that are compared with all others before the rest.
     """
-    n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    bits, group, out = bitmaps(sets), group.copy(), []
+    group, out = group.copy(), []
     order = np.argsort(size, kind="stable")
     ranked = size[order]
-    done = np.zeros(n, bool)
-    for i in [*first, *(k for k in order.tolist() if k not in set(first))]:
+    done = np.zeros(len(size), bool)
+    ahead = set(first)
+    for i in [*first, *(k for k in order.tolist() if k not in ahead)]:
         low = np.searchsorted(ranked, -(-size[i] * num // den), "left")
         high = np.searchsorted(ranked, size[i] * den // num, "right")
         near = order[low:high]
@@ -159,25 +202,40 @@ def links(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None, fi
         bound = (size[near] + size[i] - differ) // 2  # each bit that differs is a shingle of one set only
         near = near[den * bound >= num * (size[near] + size[i] - bound)]
         for j in near.tolist():
-            if group[j] != group[i] and similar(sets[i], sets[j], num, den):
+            if group[j] != group[i] and (sets is None or similar(sets[i], sets[j], num, den)):
                 out.append((i, j))
                 group[group == group[j]] = group[i]
     return out
 
 
+def _bit_rows(bits) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+
+
+def _refine_rows(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Pairs of nodes that connect what the bitmaps of a block, or of two, don't rule out."""
+    pdf = pdf.drop_duplicates("node")
+    node, block = pdf["node"].to_numpy(), pdf["block"].to_numpy()
+    side = block if pdf["low"].iloc[0] != pdf["high"].iloc[0] else None
+    found = links(pdf["n"].to_numpy(np.int64), _bit_rows(pdf["bits"].tolist()), None, np.arange(len(pdf)), side, [], num, den)
+    return pd.DataFrame({"a": node[[i for i, _ in found]], "b": node[[j for _, j in found]]})
+
+
 def _link_rows(pdf: pd.DataFrame, num: int, den: int, crossed: bool) -> pd.DataFrame:
+    """Pairs of ids that connect what similar sets of a block, or of two, connect."""
     pdf = pdf.drop_duplicates(["id", "k1", "k2"] + (["side"] if crossed else []))
     sets = [np.frombuffer(x, "<u8") for x in pdf["hashes"]]
-    ids = pdf["id"].to_numpy()
+    size, ids = np.array([len(x) for x in sets], np.int64), pdf["id"].to_numpy()
+    bits = _bit_rows([bitmap(x, int(size.max())) for x in sets])
     if crossed:
         _, group = np.unique(pdf["label"].to_numpy(), return_inverse=True)
-        found = links(sets, group, pdf["side"].to_numpy(), [], num, den)
+        found = links(size, bits, sets, group, pdf["side"].to_numpy(), [], num, den)
     else:
-        found = links(sets, np.arange(len(sets)), None, np.flatnonzero(pdf["pivot"].to_numpy()).tolist(), num, den)
+        found = links(size, bits, sets, np.arange(len(sets)), None, np.flatnonzero(pdf["pivot"].to_numpy()).tolist(), num, den)
     return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}).astype({"a": pdf["id"].dtype, "b": pdf["id"].dtype})
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, common: int | None = None) -> DataFrame:
     """(id, n_shingles, component), one row for each row of docs.
 
     A-Z is lower-cased; words are `[^\\x20\\x09-\\x0D]+`; a set holds the distinct shingles of `words` words, or the whole
@@ -185,19 +243,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reachable by links, the row's own included. Null and empty texts and texts without words have an empty set and are
     linked with nothing. Rows that share an id are one document: they share a component. A null id takes no part in
     linking and has a null component. Other columns of docs are not read.
+
+    common changes the work, not the result: where it is given, shingles that one in so many texts has are kept out of
+    the parts, which pays where parts are small, that is at low similarities.
     """
     assert 3 * num >= 2 * den, "bands are half as large again: two similar sets must lie in one or in neighbours"
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(source.dtypes)["id"]
 
+    commons = spark.sparkContext.broadcast(_common(source, words, common) if common else None)
+
     def scan(batches):
         shingler, seen = Shingler(words), set()
-        bands = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+        is_common = decontam.tester(commons.value, COMMON_BITS) if commons.value is not None else lambda x: np.ones(len(x), bool)
+        bands = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())]))
+        starts = band_starts()
         for batch in slices(batches):
             hashes, bounds = shingler.sets(batch.column(1))
             k1, k2 = (x.astype(np.int64) for x in class_keys(hashes, bounds))
-            row, band, keys, whole = part_keys(hashes, bounds, num, den)
+            row, band, keys, whole = part_keys(hashes, bounds, num, den, is_common(hashes))
             told = [[] for _ in range(batch.num_rows)]
             short = np.zeros(batch.num_rows, bool)
             if len(seen) > 500_000:
@@ -206,7 +271,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for r, b, k, w in zip(row.tolist(), band.tolist(), keys, whole.tolist()):
                 short[r] |= not w
                 if fresh[r]:
-                    told[r].append({"band": b, "keys": k})
+                    told[r].append({"band": b, "keys": k, "bits": bitmap(hashes[bounds[r] : bounds[r + 1]], int(starts[b + 1]))})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(k1), pa.array(k2), pa.array(short), pa.array(told, bands)], ["id", "n", "k1", "k2", "short", "bands"])
 
     def sized(batches):
@@ -228,64 +293,71 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", batch.schema.field(0).type), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("tile", pa.int64()), ("blocks", pa.int64()), ("pivot", pa.bool_()), ("hashes", pa.binary())]))
 
     parts_path = staging.shared_folder(spark)
-    source.mapInArrow(scan, f"id {kind}, n long, k1 long, k2 long, short boolean, bands array<struct<band:int, keys:array<long>>>").write.option("compression", "zstd").parquet(parts_path)
+    staging.write(source.mapInArrow(scan, f"id {kind}, n long, k1 long, k2 long, short boolean, bands array<struct<band:int, keys:array<long>, bits:binary>>"), parts_path)
     scanned = spark.read.parquet(parts_path)
     info = staging.written(scanned.select("id", "n", "k1", "k2", "short"))
 
     # sets of a band that agree in a part: each points at the least of them
     node = F.xxhash64("k1", "band").alias("node")
-    keys = scanned.select("k1", F.explode("bands").alias("b")).select("k1", F.col("b.band").alias("band"), F.explode("b.keys").alias("key")).select(node, "key")
+    banded = scanned.select("k1", F.col("n").cast("int").alias("n"), F.explode("bands").alias("b")).select("n", "k1", F.col("b.band").alias("band"), "b.keys", "b.bits")
+    keys = banded.select(node, "n", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
     met = keys.withColumn("root", F.min("node").over(by_key)).withColumn("top", F.max("node").over(by_key)).filter("root <> top")
-    met = staging.written(met.groupBy("node", "root").agg(F.count(F.lit(1)).alias("met")))
+    met = staging.written(met.groupBy("node", "root").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n")))
+
+    # chains of candidates, cut where the bitmaps rule out every link
+    chains = components.connected(met, "node", "root")
+    sizes = staging.written(chains.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / BLOCK_BITMAPS).alias("blocks")))
+    marked = banded.select(node, "n", "bits").join(chains, "node").join(sizes, "least").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    paired = marked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    paired = paired.select("least", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "bits")
+    refined = staging.written(paired.groupBy("least", "low", "high").applyInPandas(lambda pdf: _refine_rows(pdf, num, den), "a long, b long"))
     staging.drop_folder(spark, parts_path)
-    _free(spark)
-
-    tiles = components.connected(met, "node", "root")
-    weight = met.groupBy("node").agg(F.sum("met").alias("met"))
+    tiles = components.connected(refined, "a", "b")
+    weight = met.groupBy("node").agg(F.sum("met").alias("met"), F.max("n").alias("n"))
     # a root has met as many as point at it
     rooted = met.groupBy(F.col("root").alias("node")).agg(F.count(F.lit(1)).alias("pointed"))
     weighed = tiles.join(weight, "node", "left").join(rooted, "node", "left").withColumn("weight", F.struct((F.coalesce("met", F.lit(0)) + F.coalesce("pointed", F.lit(0))).alias("w"), "node"))
-    heads = weighed.groupBy("least").agg(F.count(F.lit(1)).alias("sets"), F.max("weight")["node"].alias("pivot_node")).withColumn("blocks", F.ceil(F.col("sets") / BLOCK))
+    heads = weighed.groupBy("least").agg(F.count(F.lit(1)).alias("sets"), F.max("weight")["node"].alias("pivot_node"), F.sum("n").alias("shingles"))
+    heads = staging.written(heads.withColumn("blocks", F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))).drop("shingles"))
     placed = tiles.join(heads, "least").select("node", F.col("least").alias("tile"), "blocks", (F.col("node") == F.col("pivot_node")).alias("pivot"))
 
-    classes = info.filter("id IS NOT NULL AND n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.max("short").alias("short"))
+    classes = staging.written(info.filter("id IS NOT NULL AND n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.max("short").alias("short")))
     starts = F.array(*map(F.lit, band_starts(1 << 30).tolist()))
     own = F.size(F.filter(starts, lambda s: s <= F.col("n"))) - 1
-    banded = classes.withColumn("band", F.explode(F.array(own, own + 1))).withColumn("node", F.xxhash64("k1", F.col("band").cast("int")))
-    wanted = banded.join(placed, "node").groupBy("id").agg(F.collect_list(F.struct("k1", "k2", "tile", "blocks", "pivot")).alias("wanted"))
-    sets = staging.written(source.join(wanted, "id").select("id", "text", "wanted").mapInArrow(sized, f"id {kind}, k1 long, k2 long, n long, tile long, blocks long, pivot boolean, hashes binary"))
+    placeable = classes.withColumn("band", F.explode(F.array(own, own + 1))).withColumn("node", F.xxhash64("k1", F.col("band").cast("int")))
+    listed = placeable.join(placed, "node").groupBy("id").agg(F.collect_list(F.struct("k1", "k2", "tile", "blocks", "pivot")).alias("wanted"))
+    sets = staging.written(source.join(listed, "id").select("id", "text", "wanted").mapInArrow(sized, f"id {kind}, k1 long, k2 long, n long, tile long, blocks long, pivot boolean, hashes binary"))
 
-    # a tile's blocks, each with the pivot
-    block = F.when(F.col("pivot") & (F.col("blocks") > 1), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k2"), F.col("blocks"))))
     edge_type = f"a {kind}, b {kind}"
-    inner = staging.written(sets.withColumn("block", F.explode(block)).groupBy("tile", "block").applyInPandas(lambda pdf: _link_rows(pdf, num, den, False), edge_type))
-    label = components.connected(inner, "a", "b")
-
-    # in tiles of more than one block, what isn't connected to the pivot meets the other blocks
-    large = sets.filter("blocks > 1")
-    if large.limit(1).count():
+    inner = staging.written(sets.filter("blocks = 1").groupBy("tile").applyInPandas(lambda pdf: _link_rows(pdf, num, den, False), edge_type))
+    if heads.filter("blocks > 1").limit(1).count():
+        # a large tile's blocks, each with the pivot
+        large = sets.filter("blocks > 1")
+        block = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k2"), F.col("blocks"))))
+        inner = inner.unionByName(staging.written(large.withColumn("block", F.explode(block)).groupBy("tile", "block").applyInPandas(lambda pdf: _link_rows(pdf, num, den, False), edge_type)))
+        # what isn't connected to the pivot then meets the other blocks
+        label = components.connected(inner, "a", "b")
         named = large.join(label, large["id"] == label["node"], "left").select(*(large[c] for c in large.columns), F.coalesce("least", large["id"]).alias("label"))
         pivots = named.filter("pivot").select("tile", F.col("label").alias("pivot_label")).distinct()
         apart = named.join(pivots, "tile").withColumn("apart", F.col("label") != F.col("pivot_label"))
-        lone = apart.filter("apart").groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("lone_blocks"))
+        lone = apart.filter("apart").groupBy("tile").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("lone_blocks"))
         crossed = apart.join(lone, "tile")
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         left = crossed.filter("apart").withColumn("row", F.pmod(F.xxhash64("k1"), F.col("lone_blocks"))).withColumn("col", every("blocks")).withColumn("side", F.lit(0))
         right = crossed.withColumn("col", F.pmod(F.xxhash64("k2"), F.col("blocks"))).withColumn("row", every("lone_blocks")).withColumn("side", F.lit(1))
-        outer = staging.written(left.unionByName(right).groupBy("tile", "row", "col").applyInPandas(lambda pdf: _link_rows(pdf, num, den, True), edge_type))
-        inner = inner.unionByName(outer)
+        inner = inner.unionByName(staging.written(left.unionByName(right).groupBy("tile", "row", "col").applyInPandas(lambda pdf: _link_rows(pdf, num, den, True), edge_type)))
     # a set whose parts are too few, which chance all but rules out, meets all sets that may be similar
     short = classes.filter("short")
     if short.limit(1).count():
         inner = inner.unionByName(staging.written(_meet_all(source, classes, words, num, den, kind)))
     # rows that share an id are one document
-    same = info.filter("id IS NOT NULL AND n > 0").join(classes.select("k1", "k2", "n", F.col("id").alias("head")), ["k1", "k2", "n"])
+    same = info.select("id", "k1", "k2", "n").filter("id IS NOT NULL AND n > 0").join(classes.select("k1", "k2", "n", F.col("id").alias("head")), ["k1", "k2", "n"])
     several = same.groupBy("id").agg(F.min("head").alias("a"), F.max("head").alias("b")).filter("a <> b")
     extra = same.join(several.select("id", "a"), "id").select(F.col("a"), F.col("head").alias("b"))
     label = components.connected(inner.unionByName(extra), "a", "b")
 
-    heads = classes.join(label, classes["id"] == label["node"], "left").select("k1", "k2", "n", F.coalesce("least", "id").alias("component"))
+    heads = staging.written(classes.join(label, classes["id"] == label["node"], "left").select("k1", "k2", "n", F.coalesce("least", "id").alias("component")))
     out = info.join(heads, ["k1", "k2", "n"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast(kind)).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component"))
@@ -310,10 +382,32 @@ def _meet_all(source: DataFrame, classes: DataFrame, words: int, num: int, den:
     return left.unionByName(right).groupBy("col").applyInPandas(lambda pdf: _link_rows(pdf, num, den, True), f"a {kind}, b {kind}")
 
 
-def _free(spark) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+def _common(source: DataFrame, words: int, share: int) -> bytes:
+    """A bitmap of the shingles that one in `share` texts has."""
+
+    def count(batches):
+        shingler = Shingler(words)
+
+        def frequent(kept):
+            ordered = np.sort(np.concatenate(kept)) if kept else np.zeros(0, U64)
+            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(ordered)))
+            often = n >= COMMON_SEEN
+            return pa.RecordBatch.from_arrays([pa.array(ordered[first[often]].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
+
+        kept, size = [], 0
+        for batch in slices(batches):
+            hashes, _ = shingler.sets(batch.column(1))
+            kept.append(hashes)
+            size += len(hashes)
+            if size >= COMMON_BLOCK:
+                yield frequent(kept)
+                kept, size = [], 0
+        yield frequent(kept)
+
+    least = max(COMMON_LEAST, source.count() // share)
+    seen = source.select("id", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return decontam.bitmap(seen.filter(F.col("n") >= least).select("h"), COMMON_BITS)
 
 
 #: The contract's rule in DuckDB SQL (three words, 90 of 100).

@@ -54,12 +54,14 @@ def some_rows(seed, families, copies, length, edits):
     return rows
 
 
-@pytest.mark.parametrize("k, num, den, block", [(3, 90, 100, 1024), (3, 90, 100, 3), (5, 80, 100, 1024), (2, 80, 100, 4)])
-def test_against_all_pairs(spark, monkeypatch, k, num, den, block):
+@pytest.mark.parametrize("k, num, den, block, common", [(3, 90, 100, 1024, None), (3, 90, 100, 3, 1000), (5, 80, 100, 1024, 1000), (2, 80, 100, 4, 1000), (5, 80, 100, 4, None)])
+def test_against_all_pairs(spark, monkeypatch, k, num, den, block, common):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(ngramjoin, "BLOCK_BITMAPS", 8192 if block == 1024 else 5)
+    monkeypatch.setattr(ngramjoin, "COMMON_LEAST", 16 if block == 1024 else 2)
     rows = some_rows(k + num + block, 25, 12, 150, 5) + [(900, None), (901, ""), (902, " \t"), (903, "one"), (904, "ONE"), (905, "one two"), (None, "one"), (906, "x y z"), (906, "completely different words here now"), (907, "Completely different words here now")]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n int, k1 int").repartition(3)
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component"] is None else r["component"]) for r in ngramjoin.near_groups(df, words=k, num=num, den=den).collect())
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component"] is None else r["component"]) for r in ngramjoin.near_groups(df, words=k, num=num, den=den, common=common).collect())
     assert got == brute(rows, k, num, den)
     assert len({c for *_, c in got}) < len(got) - 10
 
@@ -109,11 +111,13 @@ def test_similar_sets_agree_in_a_part():
                 y = np.unique(np.concatenate([x[gone // 2 :], r.integers(0, 1 << 63, gone - gone // 2).astype(np.uint64)]))
                 if not ngramjoin.similar(x, y, num, 100) or len(x) == len(y) and (x == y).all():
                     continue
-                row, band, keys, whole = ngramjoin.part_keys(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), num, 100)
-                assert whole.all()
-                a = {(b, k) for w, b, ks in zip(row, band, keys) if w == 0 for k in ks.tolist()}
-                b = {(b, k) for w, b, ks in zip(row, band, keys) if w == 1 for k in ks.tolist()}
-                assert a & b
+                both = np.concatenate([x, y])
+                for share in (0, 2, 5, 8, 9, 10):  # tenths of all shingles that are common
+                    row, band, keys, whole = ngramjoin.part_keys(both, np.array([0, len(x), len(x) + len(y)]), num, 100, both % np.uint64(10) < share)
+                    assert whole.all()
+                    a = {(b, k) for w, b, ks in zip(row, band, keys) if w == 0 for k in ks.tolist()}
+                    b = {(b, k) for w, b, ks in zip(row, band, keys) if w == 1 for k in ks.tolist()}
+                    assert a & b
 
 
 def test_components(spark):
