@@ -6,6 +6,9 @@ UTF-8 bytes and words of code points are the same.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -51,16 +54,26 @@ def nonspace_bytes() -> np.ndarray:
 
 
 def string_view(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of an Arrow string array, offsets from 0; null is the empty text."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    """(bytes, offsets) of an Arrow string array, offsets from 0; null is the empty text. Nothing is copied unless there are nulls."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    if texts.type not in (pa.string(), pa.large_string()):
+        texts = texts.cast(pa.large_string())
     _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(offsets, np.int32 if texts.type == pa.string() else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give memory that was freed back to the system: a worker lives on between tasks, and others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than glibc's
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches, most: int = 1 << 20, text: int = 1):
     """Record batches cut into pieces of about `most` text bytes, one row at least."""
     for batch in batches:
@@ -72,6 +85,7 @@ def slices(batches, most: int = 1 << 20, text: int = 1):
             last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+        release()
 
 
 class Powers:

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lattica.llm import staging
-from lattica.llm.bytetext import Kit, Words, gram_hashes, mix, nonspace_bytes, slices, string_view
+from lattica.llm.bytetext import Kit, Words, gram_hashes, mix, nonspace_bytes, release, slices, string_view
 
 #: Words in a block of documents within which repeats are found before anything is shuffled.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 #: Input bytes for each hash range; the number of ranges grows with the input.
-RANGE_BYTES = 6 << 20
+RANGE_BYTES = 3 << 20
 #: Stands for a null id; it comes before every other.
 NO_ID = -(1 << 63)
 
@@ -120,6 +120,7 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, window: int) ->
                 block.add(ids[row], (ok - words.first[row]).astype(np.int32), gram_hashes(hashed, window, kit.gram)[ok], gram_hashes(hashed, window, kit.gram2)[ok], len(hashed))
             if block.words >= BLOCK_WORDS:
                 yield rows()
+                release()
         yield rows()
 
     def find(pdf):
@@ -150,6 +151,7 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, window: int) ->
             order = np.lexsort((starts, ids, shelf))
             cuts = np.searchsorted(shelf[order], np.arange(ranges + 1))
             out = [(k, pack(ids[own], starts[own], None)) for k in range(ranges) if len(own := order[cuts[k] : cuts[k + 1]])]
+        release()
         return pd.DataFrame({"shelf": [x[0] for x in out], "entries": [x[1] for x in out]})
 
     def gather(pdf):
