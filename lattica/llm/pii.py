@@ -3,6 +3,11 @@
 An Aho-Corasick automaton passes over each text once and finds anchors: at-signs, `://`, plus signs, digits and
 identifier cues ("iban", "token", ...). From each anchor a local parser expands to the left and right, validates
 what it finds and fixes the boundaries. Parsers never rescan: the work is linear in the text.
+
+Nothing is cut by its length: secrets, and users, passwords, hosts and paths of URLs, are read to their ends. What makes a
+find is bounded: a secret has 8 characters or more and its sign (: or =) at most 4 spaces on either side; between an account
+cue and its number are at most 4 separators; an account number or IBAN has at most 34 characters without separators but
+for a number's first letters (up to 4).
 """
 
 from __future__ import annotations
@@ -62,13 +67,16 @@ class Finder:
         self.phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
         self.iban = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])").match
         self.number = re.compile(r"(?i:\s*(?:number|no\.?|nr\.?|id))?[\s:#=]{1,4}([A-Z]{0,4}[0-9](?:[ -]?[0-9A-Z]){4,33})(?![A-Za-z0-9])").match
-        self.value = re.compile(r"\s{0,4}[:=]\s{0,4}(?:\"([^\"\s]{8,512})\"|'([^'\s]{8,512})'|([^\s\"']{8,512}))").match
-        self.login = re.compile(r"[^\s/@:?#]{1,128}:[^\s/@?#]{1,128}@[A-Za-z0-9.-]{1,253}(?::[0-9]{1,5})?(?:[/?#][^\s\"'<>]{0,2048})?").match
+        # the classes around each possessive run don't meet; an unquoted value and a path are read on by `bare` and `path`
+        self.value = re.compile(r"\s{0,4}[:=]\s{0,4}(?:\"([^\"\s]{8,}+)\"|'([^'\s]{8,}+)'|(?=[^\s\"']{8}))").match
+        self.bare = re.compile(r"[^\s\"']++").match
+        self.login = re.compile(r"[^\s/@:?#]++:[^\s/@?#]++@[A-Za-z0-9.-]++(?::[0-9]++)?").match
+        self.path = re.compile(r"[/?#][^\s\"'<>]*+").match
 
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         """(start, kind, end) in code points, by start and then in the order of KINDS."""
         found: list[tuple[int, int, int]] = []
-        next_email = next_address = next_chain = next_phone = next_iban = 0
+        next_email = next_address = next_chain = next_phone = next_iban = next_bare = next_path = 0
         for last, (kind, size) in self.anchors.iter(text):
             p = last - size + 1
             if kind == "d":
@@ -107,17 +115,27 @@ class Finder:
                         found.append((p, 3, next_phone))
             elif kind == "/":
                 start = p
-                while start > 0 and p - start < 16 and text[start - 1].isascii() and text[start - 1].isalnum():
+                while start > 0 and text[start - 1].isascii() and text[start - 1].isalnum():
                     start -= 1
                 if start < p and (m := self.login(text, p + 3)):
-                    found.append((start, 7, m.end()))
+                    end = m.end()
+                    if end < next_path:  # in the path of a URL before: both end together
+                        end = next_path if text[end] in "/?#" else end
+                    elif m := self.path(text, end):
+                        end = next_path = m.end()
+                    found.append((start, 7, end))
             elif text[p - 1 : p].isalnum():
                 continue  # a cue inside a longer word
             elif kind == "a":
                 if (m := self.number(text, last + 1)) and sum(c.isdigit() for c in m[1]) >= 6:
                     found.append((m.start(1), 5, m.end(1)))
             elif m := self.value(text, last + 1):
-                found.append((m.start(m.lastindex), 6, m.end(m.lastindex)))
+                if m.lastindex:
+                    found.append((m.start(m.lastindex), 6, m.end(m.lastindex)))
+                else:
+                    if m.end() >= next_bare:  # else in an unquoted value before: both end together
+                        next_bare = self.bare(text, m.end()).end()
+                    found.append((m.end(), 6, next_bare))
         return [(start, KINDS[k], end) for start, k, end in sorted(set(found))]
 
 

@@ -56,6 +56,30 @@ def test_added_kinds():
     assert kinds("the accountant came; tokens are fine") == []
 
 
+def test_added_kinds_of_any_length():
+    finder = pii.Finder()
+    added = lambda t: [(k, t[a:b]) for a, k, b in finder.spans(t) if k not in pii.BASE_KINDS]
+    for n in (8, 128, 129, 512, 513, 600, 2049, 5000):
+        x = "aB_" * n
+        for value in (f'"{x}"', f"'{x}'", x):
+            assert added(f"my token = {value} end") == [("secret", x)], n
+        for url in (f"ftp://{x}:p@h.example/y", f"ftp://u:{x}@h.example/y", f"ftp://u:p@{'h.' * n}example/y", f"ftp://u:p@h.example:80/{x}", f"{'s' * n}://u:p@h.example?{x}"):
+            assert added(f"see {url} end") == [("url", url)], n
+    # finds within finds end together, without a scan for each
+    n = 50_000
+    for text, kind in (("token=" * n + "abcdefgh", "secret"), ("a://u:p@h/" * n + "z", "url")):
+        spans = [(a, b) for a, k, b in finder.spans(text) if k == kind]
+        assert len(spans) == n and {b for _, b in spans} == {len(text)}
+    assert added("a://u:p@h/b://u:p@h:1 c://u:p@h") == [("url", "a://u:p@h/b://u:p@h:1"), ("url", "b://u:p@h:1"), ("url", "c://u:p@h")]
+    assert added("a://u:p@h/b://u:p@h_x") == [("url", "a://u:p@h/b://u:p@h_x"), ("url", "b://u:p@h")]
+
+
+def test_long_values_are_redacted_in_whole(spark):
+    x = "Ab1" * 400
+    df = spark.createDataFrame([(1, f"token={x}!"), (2, f'token="{x}"!'), (3, f"ftp://joe:{x}@host/ !")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {1: "token=[secret]", 2: 'token="[secret]"!', 3: "[url] !"}
+
+
 def test_query(spark):
     rows = {r["doc_id"]: r for r in contract.op1_private_data(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
