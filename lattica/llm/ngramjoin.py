@@ -267,7 +267,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             short = np.zeros(batch.num_rows, bool)
             if len(seen) > 500_000:
                 seen.clear()
-            fresh = [x not in seen and not seen.add(x) for x in k1.tolist()]  # a task tells the parts of equal sets once
+            # a task tells the parts of equal sets once; those of rows without an id never, so that each node has a class and each tile its pivot
+            fresh = [known and x not in seen and not seen.add(x) for known, x in zip(batch.column(0).is_valid().to_pylist(), k1.tolist())]
             for r, b, k, w in zip(row.tolist(), band.tolist(), keys, whole.tolist()):
                 short[r] |= not w
                 if fresh[r]:

@@ -97,6 +97,34 @@ def test_large_group_whose_copies_are_not_alike(spark, monkeypatch):
     assert {c for *_, c in got} == {0}
 
 
+def pairs_around_texts_without_ids():
+    """Pairs of copies of a text; it and most other copies occur only without an id, so they are likely roots of parts."""
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = [(None, " ".join(base))] * 2
+    for i in range(440):
+        own = list(base)
+        for p in r.sample(range(3, 197), 3):
+            own[p] = f"n{i}x{p}"
+        if i < 400:
+            rows.append((None, " ".join(own)))
+            continue
+        rows.append((2 * i, " ".join(own)))
+        own[r.randrange(3, 197)] = f"m{i}"
+        rows.append((2 * i + 1, " ".join(own)))
+    return rows
+
+
+def test_large_group_whose_centre_has_no_id(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "BLOCK", 16)
+    rows = pairs_around_texts_without_ids()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((-1 if i is None else i, n, -1 if c is None else c) for i, n, c in ngramjoin.near_groups(df, words=3, num=90, den=100).collect())
+    want = brute(rows, 3, 90, 100)
+    assert got == want
+    assert sum(i != c for i, _, c in want) >= 40
+
+
 def test_empty(spark):
     assert ngramjoin.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
