@@ -2,7 +2,7 @@
 
 An Aho-Corasick automaton passes over each text once and finds anchors: at-signs, `://`, plus signs, digits and
 identifier cues ("iban", "token", ...). From each anchor a local parser expands to the left and right, validates
-what it finds and fixes the boundaries. Parsers never rescan: the work is linear in the text.
+what it finds and fixes the boundaries. Cues are found whatever the case of their ASCII letters. Parsers never rescan: the work is linear in the text.
 
 Nothing is cut by its length: secrets, and users, passwords, hosts and paths of URLs, are read to their ends. What makes a
 find is bounded: a secret has 8 characters or more and its sign (: or =) at most 4 spaces on either side; between an account
@@ -56,8 +56,7 @@ class Finder:
             self.anchors.add_word(word, (kind, len(word)))
         for cues, kind in ((ACCOUNT_CUES, "a"), (SECRET_CUES, "s")):
             for cue in cues:
-                for form in {cue, cue.upper(), cue.capitalize()}:
-                    self.anchors.add_word(form, (kind, len(form)))
+                self.anchors.add_word(cue, (kind, len(cue)))
         self.anchors.make_automaton()
         self.local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
         self.domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++").match
@@ -77,7 +76,9 @@ class Finder:
         """(start, kind, end) in code points, by start and then in the order of KINDS."""
         found: list[tuple[int, int, int]] = []
         next_email = next_address = next_chain = next_phone = next_iban = next_bare = next_path = 0
-        for last, (kind, size) in self.anchors.iter(text):
+        # cues are known by their small letters; bytes.lower() turns A-Z only, so places stay the same
+        lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        for last, (kind, size) in self.anchors.iter(lowered):
             p = last - size + 1
             if kind == "d":
                 if p >= next_chain:

@@ -74,6 +74,19 @@ def test_added_kinds_of_any_length():
     assert added("a://u:p@h/b://u:p@h_x") == [("url", "a://u:p@h/b://u:p@h_x"), ("url", "b://u:p@h")]
 
 
+def test_cues_of_any_case():
+    finder = pii.Finder()
+    kinds = lambda t: [(k, t[a:b]) for a, k, b in finder.spans(t) if k not in pii.BASE_KINDS]
+    for cue in pii.ACCOUNT_CUES + pii.SECRET_CUES:
+        for form in {cue, cue.upper(), cue.capitalize(), cue.title(), cue.swapcase(), "".join(c.upper() if k % 2 else c for k, c in enumerate(cue))}:
+            # İ and ẞ change their length or bytes where all letters are lowered
+            if cue in pii.ACCOUNT_CUES:
+                assert kinds(f"İẞ🙂 {form} Number: 123-45-6789 x") == [("account", "123-45-6789")], form
+            else:
+                assert kinds(f"İẞ🙂 {form} = 'aBcdefGh1' x") == [("secret", "aBcdefGh1")], form
+    assert kinds("The Accountant came; Tokens: abcdefgh1; to\u212aen: abcdefgh1") == []
+
+
 def test_long_values_are_redacted_in_whole(spark):
     x = "Ab1" * 400
     df = spark.createDataFrame([(1, f"token={x}!"), (2, f'token="{x}"!'), (3, f"ftp://joe:{x}@host/ !")], "doc_id long, text string")
