@@ -55,8 +55,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the source's order until its target is met, so a source misses its target by less than one document. position is
     the training position in [0, 1) of the document's first pass, null if it isn't taken. A null source is a source of
     its own; null ids, rows that share an id and ties are ordered by their text's hash; equal rows are
-    interchangeable. The order comes from hashes of id and text, so reruns agree. Other columns of docs are not read.
+    interchangeable. The order comes from hashes of id and text, and of what is carried, so reruns agree. Other columns of
+    docs are not read.
     """
+    return _plan(docs, id_col, text_col, source_col, weights, total, most, carry).orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
+
+
+def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What mix() returns, in no order."""
     own = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
@@ -69,7 +75,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = capped_targets(bins.groupBy("key", "source").agg(F.sum("bin_size").alias("source_size")), weights, total, most)
     in_source = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bins.select("key", "bin", F.coalesce(F.sum("bin_size").over(in_source), F.lit(0)).alias("bin_start")).join(targets.drop("source"), "key")
-    in_bin = Window.partitionBy("key", "bin").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # maps and variants have no hash: rows that differ in them only are interchangeable
+    ties = [c for c, kind in own.dtypes if c.startswith("carry_") and "map<" not in kind and "variant" not in kind]
+    in_bin = Window.partitionBy("key", "bin").orderBy("turn", "id", "size", *([F.xxhash64(*ties)] if ties else [])).rowsBetween(Window.unboundedPreceding, -1)
     placed = own.withColumn("inside", F.coalesce(F.sum("size").over(in_bin), F.lit(0))).join(offsets, ["key", "bin"])
     start = F.col("bin_start") + F.col("inside")
     # passes that the source makes in whole, and words of the last one; a document whose middle lies before its end is in it
@@ -90,21 +98,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (F.col("size") * passes).cast("long").alias("taken"),
         F.when(passes > 0, position).alias("position"),
         *(F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)),
-    ).orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
+    )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """docs with each row as often as the mix takes it (0 times: left out), range-sorted by training position; later passes follow at the position plus a pass's share of the curriculum.
 
-    Rows that share an id are taken alike, as the one that comes first in the mix. Columns are those of docs.
+    Each row has the passes and the position that mix() gives it, also where its id is null or shared. Columns are those of docs.
     """
-    key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
-    plan = mix(docs, id_col, text_col, source_col, **settings).filter("taken > 0")
-    due = F.struct(F.col("position"), (F.col("taken") / F.col("size")).cast("int").alias("passes"), F.least(F.lit(1.0), F.col("source_size") / F.col("target")).alias("step"))
-    plan = plan.groupBy(key.alias("mix_key")).agg(F.min(due).alias("due"))
-    rows = docs.select(F.struct("*").alias("doc"), key.alias("mix_key")).join(plan, "mix_key")
-    every = rows.select("doc", "due", F.explode(F.sequence(F.lit(0), F.col("due.passes") - 1)).alias("again"))
-    at = F.col("due.position") + F.col("again") * F.col("due.step")
+    whole = docs.select(F.col(id_col), F.col(text_col), F.col(source_col), F.struct("*").alias("mix_doc"))
+    plan = _plan(whole, id_col, text_col, source_col, carry=("mix_doc",), **settings).filter("taken > 0")
+    step = F.least(F.lit(1.0), F.col("source_size") / F.col("target"))
+    every = plan.select(F.col("mix_doc").alias("doc"), "position", step.alias("step"), F.explode(F.sequence(F.lit(0), (F.col("taken") / F.col("size")).cast("int") - 1)).alias("again"))
+    at = F.col("position") + F.col("again") * F.col("step")
     spark = docs.sparkSession
     pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     return every.select("doc", at.alias("at")).repartitionByRange(pieces, "at").sortWithinPartitions("at").select("doc.*")

@@ -58,3 +58,18 @@ def test_edges(spark):
     assert len(rows) == 5 and {r["source_size"] for r in rows} == {2, 4}
     assert all(r["taken"] == 0 for r in rows if r["doc_id"] in (1, 2))
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["null", "shared"])
+def test_rows_without_an_id_of_their_own(spark, ids):
+    # rows are told apart by n
+    rows = [(None if ids == "null" else k % 3, " ".join([f"t{k}"] * (1 + k % 7)), "aabc"[k % 4], k) for k in range(400)] + [(None, None, "a", 400), (None, "", "c", 401)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(3)
+    plan = {r["n"]: r for r in mixing.mix(df, carry=("n",)).collect()}
+    got = mixing.mixed(df).collect()
+    passes = {k: sum(r["n"] == k for r in got) for k in plan}
+    assert passes == {k: r["taken"] // r["size"] if r["size"] else 0 for k, r in plan.items()}
+    assert {tuple(r) for r in got} <= set(rows)
+    taken = {s: sum(len(r["text"].split()) for r in got if r["source"] == s) for s in "abc"}
+    for r in plan.values():
+        assert abs(taken[r["source"]] - r["target"]) <= 7
