@@ -28,7 +28,7 @@ BLOCK_BITMAPS, BLOCK, BLOCK_SHINGLES = 8192, 4096, 2_000_000
 SPARE, SPARE_RARE, SPARE_LEAST = 1.15, 2.6, 8
 #: Bands of sets no larger than this have a part for each shingle: few shingles in few parts would too often meet in one.
 SMALL = 32
-#: A common shingle is in so many texts at least. Counts go over all texts, from blocks of COMMON_BLOCK shingles; of a shingle that a block has less than COMMON_SEEN times, the block says nothing.
+#: A common shingle is in so many texts at least. Counts are approximate: they come from blocks of COMMON_BLOCK shingles; of a shingle that a block has less than COMMON_SEEN times, the block says nothing.
 COMMON_LEAST, COMMON_SEEN, COMMON_BLOCK = 16, 2, 4_000_000
 #: Bits of the map of common shingles: 2 MB, whatever the corpus.
 COMMON_BITS = 24
@@ -384,7 +384,7 @@ def _meet_all(source: DataFrame, classes: DataFrame, words: int, num: int, den:
 
 
 def _common(source: DataFrame, words: int, share: int) -> bytes:
-    """A bitmap of the shingles that one in `share` texts has."""
+    """A bitmap of the shingles that about one in `share` texts has; what a block sees less than COMMON_SEEN times isn't counted. part_keys is complete for any such map."""
 
     def count(batches):
         shingler = Shingler(words)
