@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lattica.llm import staging
-from lattica.llm.bytetext import Kit, Words, alnum_bytes, gram_hashes, lowered, slices, string_view
+from lattica.llm.bytetext import Kit, Words, alnum_bytes, lowered, slices, string_view, windows
 
 #: Bits of the two bitmaps of item hashes: 2 MB each, whatever the size of the benchmark.
 BITMAP_BITS = 24
@@ -31,10 +31,10 @@ def winnowed(hashes: np.ndarray, span: int) -> np.ndarray:
     return kept
 
 
-def _window_rows(kit, raw, at, table, window, gram):
-    """Of a piece: words, word hashes, and for each length asked for its hashes and where they fit in one text."""
+def _hashed_words(kit, raw, at):
+    """(words, their hashes, room): of each word of a piece also how many words of its text start there or later."""
     words = Words(raw, at, alnum_bytes())
-    return words, words.hashes(kit, table), words.room()
+    return words, words.hashes(kit, fold=True), words.room()
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
@@ -42,13 +42,12 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, gram
 
     def run(batches):
         kit = Kit()
-        table = kit.codes[lowered()]
         for batch in slices(batches):
             raw, at = string_view(batch.column(1))
-            words, hashed, room = _window_rows(kit, raw, at, table, window, gram)
+            words, hashed, room = _hashed_words(kit, raw, at)
             small = lowered()[raw]
-            kept = winnowed(gram_hashes(hashed, gram, kit.gram), window - gram + 1)
-            grams = gram_hashes(hashed, gram, kit.gram)
+            kept = winnowed(windows(hashed, gram, kit), window - gram + 1)
+            grams = windows(hashed, gram, kit)
             out = {"item": [], "size": [], "key": [], "words": [], "print": []}
             ids = batch.column(0).to_pylist()
             for row, (a, n) in enumerate(zip(words.first[:-1].tolist(), words.counts.tolist())):
@@ -56,7 +55,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, gram
                 for s in range(a, a + n - size + 1) if n else ():
                     out["item"].append(ids[row])
                     out["size"].append(size)
-                    out["key"].append(int(gram_hashes(hashed[s : s + size], size, kit.gram)[0].astype(np.int64)))
+                    out["key"].append(int(windows(hashed[s : s + size], size, kit)[0].astype(np.int64)))
                     out["words"].append(b" ".join(bytes(small[words.start[w] : words.end[w]]) for w in range(s, s + size)).decode())
                     out["print"].append([int(x) for x in grams[s : s + window - gram + 1][kept[s : s + window - gram + 1]].astype(np.int64)] if size == window else [])
             yield pa.RecordBatch.from_arrays([pa.array(out["item"], pa.string()), pa.array(out["size"], pa.int32()), pa.array(out["key"], pa.int64()), pa.array(out["words"], pa.string()), pa.array(out["print"], pa.list_(pa.int64()))], list(out))
@@ -108,16 +107,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     def scan(batches):
         kit = Kit()
-        table, small = kit.codes[lowered()], lowered()
+        small = lowered()
         has_print, has_key = tester(prints.value, bits), tester(keys.value, bits)
         kind = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("words", pa.string())]))
         for batch in slices(batches):
             raw, at = string_view(batch.column(1))
-            words, hashed, room = _window_rows(kit, raw, at, table, window, gram)
+            words, hashed, room = _hashed_words(kit, raw, at)
             hits: list[list] = [[] for _ in range(batch.num_rows)]
             row_of, total = None, len(hashed)
             candidates = []
-            grams = gram_hashes(hashed, gram, kit.gram)
+            grams = windows(hashed, gram, kit)
             if total >= window:
                 # winnowing over the joined stream keeps, inside each text, at least what it keeps of the text alone
                 hit = np.flatnonzero(winnowed(grams, span) & has_print(grams))
@@ -131,7 +130,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             for size, starts in candidates:
                 if not len(starts):
                     continue
-                all_keys = gram_hashes(hashed, size, kit.gram)
+                all_keys = windows(hashed, size, kit)
                 starts = starts[has_key(all_keys[starts])]
                 if len(starts) and row_of is None:
                     row_of = words.row_of_word()

@@ -10,6 +10,9 @@ to blocks: each block also has the tile's pivot, the set that shares parts with
 to the pivot afterwards meets all other blocks, a block at a time.
 
 Equal sets are one class from the start, whatever their number, and no list of pairs is made. Nothing is capped.
+
+Shingles are known by 61-bit hashes whose points are drawn anew for each run, classes by two keys that come from hashes at
+different points. Two given sets of n shingles are taken for nearer than they are with a probability below n * n / 2**56.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lattica.llm import components, decontam, staging
-from lattica.llm.bytetext import U64, Kit, Words, gram_hashes, lowered, mix, nonspace_bytes, slices, string_view
+from lattica.llm.bytetext import U64, Kit, Words, mix, new_seed, nonspace_bytes, slices, string_view, windows
 
 #: Bitmaps in a block of a tile; sets in a block of a tile, and shingles.
 BLOCK_BITMAPS, BLOCK, BLOCK_SHINGLES = 8192, 4096, 2_000_000
@@ -50,25 +53,40 @@ def needed(size, num: int, den: int):
 
 
 class Shingler:
-    """Sets of hashed shingles of the texts of a piece."""
+    """Sets of hashed shingles of the texts of a piece; all tasks of a run share the seed."""
 
-    def __init__(self, words: int):
-        self.words, self.kit, self.inside = words, Kit(), nonspace_bytes()
-        self.table = self.kit.codes[lowered()]
+    def __init__(self, words: int, seed: int):
+        self.words, self.kit, self.inside = words, Kit(seed), nonspace_bytes()
 
     def sets(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, bounds): the ascending distinct hashes of text k lie in hashes[bounds[k]:bounds[k + 1]]."""
+        return self.sets_and_keys(texts, False)[:2]
+
+    def sets_and_keys(self, texts, keyed: bool = True):
+        """sets() and two 64-bit keys of each set, the second from hashes of the shingles at other points."""
         raw, at = string_view(texts)
         words = Words(raw, at, self.inside)
-        hashed = words.hashes(self.kit, self.table)
-        grams = gram_hashes(hashed, self.words, self.kit.gram)
-        out = []
+        hashed = [words.hashes(self.kit, fold=True, family=f) for f in range(1 + keyed)]
+        grams = [windows(h, self.words, self.kit, f) for f, h in enumerate(hashed)]
+        out, others = [], []
         for a, n in zip(words.first[:-1].tolist(), words.counts.tolist()):
             if n >= self.words:
-                out.append(np.unique(grams[a : a + n - self.words + 1]))
+                own, first = np.unique(grams[0][a : a + n - self.words + 1], return_index=True)
+                out.append(own)
+                if keyed:
+                    others.append(grams[1][a : a + n - self.words + 1][first])
+            elif n:
+                out.append(windows(hashed[0][a : a + n], n, self.kit))
+                if keyed:
+                    others.append(windows(hashed[1][a : a + n], n, self.kit, 1))
             else:
-                out.append(gram_hashes(hashed[a : a + n], n, self.kit.gram) if n else np.zeros(0, U64))
-        return (np.concatenate(out) if out else np.zeros(0, U64)), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+                out.append(np.zeros(0, U64))
+        hashes = np.concatenate(out) if out else np.zeros(0, U64)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+        if not keyed:
+            return hashes, bounds
+        others = np.concatenate(others) if others else np.zeros(0, U64)
+        return hashes, bounds, class_key(hashes, bounds, 11), class_key(others, bounds, 12)
 
 
 def _wrapping_sums(place: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
@@ -78,11 +96,11 @@ def _wrapping_sums(place: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     return low + (high << U64(32))
 
 
-def class_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each set."""
+def class_key(hashes: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit key of each set, whatever the order of its hashes."""
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     size = np.diff(bounds).astype(U64)
-    return tuple(mix(_wrapping_sums(row, mix(hashes + U64(salt)), len(bounds) - 1) + size) for salt in (11, 12))
+    return mix(_wrapping_sums(row, mix(hashes + U64(salt)), len(bounds) - 1) + size).astype(np.int64)
 
 
 def _parts_of(most: np.ndarray, spare: float, need_most: np.ndarray) -> np.ndarray:
@@ -251,17 +269,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(source.dtypes)["id"]
+    seed = new_seed()
 
-    commons = spark.sparkContext.broadcast(_common(source, words, common) if common else None)
+    commons = spark.sparkContext.broadcast(_common(source, words, common, seed) if common else None)
 
     def scan(batches):
-        shingler, seen = Shingler(words), set()
+        shingler, seen = Shingler(words, seed), set()
         is_common = decontam.tester(commons.value, COMMON_BITS) if commons.value is not None else lambda x: np.ones(len(x), bool)
         bands = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())]))
         starts = band_starts()
         for batch in slices(batches):
-            hashes, bounds = shingler.sets(batch.column(1))
-            k1, k2 = (x.astype(np.int64) for x in class_keys(hashes, bounds))
+            hashes, bounds, k1, k2 = shingler.sets_and_keys(batch.column(1))
             row, band, keys, whole = part_keys(hashes, bounds, num, den, is_common(hashes))
             told = [[] for _ in range(batch.num_rows)]
             short = np.zeros(batch.num_rows, bool)
@@ -277,10 +295,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def sized(batches):
         """Sets of the documents that are wanted, with the tiles that want them."""
-        shingler = Shingler(words)
+        shingler = Shingler(words, seed)
         for batch in slices(batches):
-            hashes, bounds = shingler.sets(batch.column(1))
-            k1, k2 = (x.astype(np.int64) for x in class_keys(hashes, bounds))
+            hashes, bounds, k1, k2 = shingler.sets_and_keys(batch.column(1))
             out = {"id": [], "k1": [], "k2": [], "n": [], "tile": [], "blocks": [], "pivot": [], "hashes": []}
             ids = batch.column(0).to_pylist()
             for r, wanted in enumerate(batch.column(2).to_pylist()):
@@ -302,8 +319,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     node = F.xxhash64("k1", "band").alias("node")
     banded = scanned.select("k1", F.col("n").cast("int").alias("n"), F.explode("bands").alias("b")).select("n", "k1", F.col("b.band").alias("band"), "b.keys", "b.bits")
     keys = banded.select(node, "n", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    met = keys.withColumn("root", F.min("node").over(by_key)).withColumn("top", F.max("node").over(by_key)).filter("root <> top")
+    # ends are aggregated before they are shuffled, and the join of a key with very many sets can be split
+    ends = keys.groupBy("key").agg(F.min("node").alias("root"), F.max("node").alias("top")).filter("root <> top").drop("top")
+    met = keys.join(ends, "key")
     met = staging.written(met.groupBy("node", "root").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n")))
 
     # chains of candidates, cut where the bitmaps rule out every link
@@ -351,7 +369,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a set whose parts are too few, which chance all but rules out, meets all sets that may be similar
     short = classes.filter("short")
     if short.limit(1).count():
-        inner = inner.unionByName(staging.written(_meet_all(source, classes, words, num, den, kind)))
+        inner = inner.unionByName(staging.written(_meet_all(source, classes, words, num, den, kind, seed)))
     # rows that share an id are one document
     same = info.select("id", "k1", "k2", "n").filter("id IS NOT NULL AND n > 0").join(classes.select("k1", "k2", "n", F.col("id").alias("head")), ["k1", "k2", "n"])
     several = same.groupBy("id").agg(F.min("head").alias("a"), F.max("head").alias("b")).filter("a <> b")
@@ -364,14 +382,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component"))
 
 
-def _meet_all(source: DataFrame, classes: DataFrame, words: int, num: int, den: int, kind: str) -> DataFrame:
+def _meet_all(source: DataFrame, classes: DataFrame, words: int, num: int, den: int, kind: str, seed: int) -> DataFrame:
     """Edges of the sets whose parts are too few with all other sets, in blocks."""
 
     def sized(batches):
-        shingler = Shingler(words)
+        shingler = Shingler(words, seed)
         for batch in slices(batches):
-            hashes, bounds = shingler.sets(batch.column(1))
-            k1, k2 = (x.astype(np.int64) for x in class_keys(hashes, bounds))
+            hashes, bounds, k1, k2 = shingler.sets_and_keys(batch.column(1))
             own = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1), pa.array(k2), pa.array(own, pa.binary())], ["id", "k1", "k2", "hashes"])
 
@@ -383,11 +400,11 @@ def _meet_all(source: DataFrame, classes: DataFrame, words: int, num: int, den:
     return left.unionByName(right).groupBy("col").applyInPandas(lambda pdf: _link_rows(pdf, num, den, True), f"a {kind}, b {kind}")
 
 
-def _common(source: DataFrame, words: int, share: int) -> bytes:
+def _common(source: DataFrame, words: int, share: int, seed: int) -> bytes:
     """A bitmap of the shingles that about one in `share` texts has; what a block sees less than COMMON_SEEN times isn't counted. part_keys is complete for any such map."""
 
     def count(batches):
-        shingler = Shingler(words)
+        shingler = Shingler(words, seed)
 
         def frequent(kept):
             ordered = np.sort(np.concatenate(kept)) if kept else np.zeros(0, U64)

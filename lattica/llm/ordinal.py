@@ -62,7 +62,7 @@ def features(kit: Kit, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
         signs = prefix_sums(np.where(symbol[raw], kit.codes[raw], np.uint64(0)))
         signs = signs[words.end] - signs[words.start]
     row_of = words.row_of_word()
-    hashed = words.hashes(kit, kit.codes)
+    hashed = words.hashes(kit)
     again = np.zeros(len(hashed), bool)
     again[1:] = (hashed[1:] == hashed[:-1]) & (row_of[1:] == row_of[:-1])
     capitals = prefix_sums(((raw >= 65) & (raw < 91)).astype(np.int32))

@@ -165,3 +165,13 @@ def test_components(spark):
                 change = True
     assert got == label
     assert components.connected(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_words_that_polynomials_modulo_2_to_the_64_confuse(spark):
+    rows = []
+    for size in (1024, 2048, 4096):
+        word = "".join("ab"[bin(k).count("1") & 1] for k in range(size))
+        other = word.translate(str.maketrans("ab", "ba"))
+        rows += [(len(rows), word), (len(rows) + 1, other), (len(rows) + 2, word), (len(rows) + 3, f"x y {word}"), (len(rows) + 4, f"x y {other}")]
+    got = ngramjoin.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=90, den=100).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 3, 90, 100)
