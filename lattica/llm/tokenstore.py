@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lattica.llm import staging
-from lattica.llm.bytetext import Kit, Powers, gram_hashes, mix, prefix_sums, slices, string_view
+from lattica.llm.bytetext import Kit, Powers, gram_hashes, lanes, mix, padded, prefix_sums, slices, string_view
 
 #: Ids that the rolling hash sees; one in MEAN ids ends a chunk; no chunk is longer than LONGEST.
 ROLL, MEAN, LONGEST = 16, 256, 4096
 #: Text pieces whose ids a Python worker remembers before it starts anew: about 50 MB.
 REMEMBERED = 1_000_000
+#: Bytes of remembered pieces over 16 bytes, after which it also starts anew.
+HELD = 32 << 20
 #: Chunk names that a task remembers, so that it sends a chunk's ids once.
 SENT = 200_000
 
@@ -40,7 +42,8 @@ class Encoder:
     U+00C0 to U+00FF), digits and signs of different kinds, before white space that follows one of these, before a
     space that one of these follows, and after a lone line break between two of them; not after an apostrophe. Cut
     there, a piece has the same ids alone as in its text. Texts that hold a string of an added token, or no such place,
-    go through the library whole. Pieces are known by two 64-bit hashes.
+    go through the library whole. A piece is known by its bytes: up to 16 as two numbers and a length, longer ones by their
+    place in a dictionary; hashes of these only find the row where they are compared.
     """
 
     def __init__(self, file: str, dtype: str):
@@ -51,7 +54,6 @@ class Encoder:
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # each piece comes once; its own cache only costs
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kit = Kit()
         self.breaker = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # kinds of bytes: 1 letter, 2 digit, 3 sign, 4 space, 5 line break, 6 other white space, 0 not known
         kind = np.zeros(256, np.uint8)
@@ -62,8 +64,24 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending keys, and where a piece's row is
-        self.checks, self.lengths = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+        self.names, self.lengths = np.zeros((3, 1024), np.uint64), np.zeros(1024, np.int64)
         self.starts, self.flat, self.filled = np.zeros(1024, np.int64), np.zeros(1 << 16, self.dtype), 0
+        self.long, self.held = {}, 0  # numbers of pieces over 16 bytes, and how many bytes they have
+
+    def named(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Three numbers for each piece, which tell its bytes from all others'."""
+        size = ends - starts
+        body = padded(raw)
+        out = np.stack([lanes(body, starts, size, 8), lanes(body, starts + 8, np.maximum(size - 8, 0), 8), size.astype(np.uint64)])
+        out[1, size <= 8] = 0
+        for k in np.flatnonzero(size > 16).tolist():
+            piece = raw[starts[k] : ends[k]].tobytes()
+            number = self.long.get(piece)
+            if number is None:
+                number = self.long[piece] = len(self.long)
+                self.held += len(piece)
+            out[:, k] = number, 0, 17
+        return out
 
     def borders(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Starts of pieces: of each text with bytes, and of the places above."""
@@ -84,12 +102,12 @@ class Encoder:
         out[at[:-1][at[:-1] < at[1:]]] = True
         return np.flatnonzero(out)
 
-    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, names: np.ndarray) -> None:
         """Encode new pieces. Those without white space but for a first space stand in one text with line breaks between them, which stay tokens of their own."""
         base, new = len(self.keys), len(starts)
-        while len(self.checks) < base + new:
-            self.checks, self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.checks, self.lengths, self.starts))
-        self.checks[base : base + new] = checks
+        while len(self.lengths) < base + new:
+            self.names, self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)], axis=-1) for x in (self.names, self.lengths, self.starts))
+        self.names[:, base : base + new] = names
         body = raw.tobytes()
         pieces = [body[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         odd = re.compile(rb".[\t-\r ]|[\t-\r\x1c-\x1f\xc2\xe1-\xe3]", re.S).search
@@ -131,18 +149,12 @@ class Encoder:
             return [np.array(e.ids, self.dtype) for e in out]
         if not len(raw):
             return [np.zeros(0, self.dtype)] * len(texts)
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) > REMEMBERED or self.held > HELD:
             self.clear()
         starts = self.borders(raw, at)
         ends = np.append(starts[1:], len(raw))
-        with np.errstate(over="ignore"):
-            size = (ends - starts).astype(np.uint64)
-            hashes = []
-            for powers in (self.kit.word.to(len(raw) + 1), self.kit.gram2.to(len(raw) + 1)):
-                sums = prefix_sums(self.kit.codes[raw] * powers.up[: len(raw)])
-                hashes.append(mix((sums[ends] - sums[starts]) * powers.down[starts] + size))
-        keys, first, place = np.unique(hashes[0], return_index=True, return_inverse=True)
-        checks = hashes[1][first]
+        names = self.named(raw, starts, ends)
+        keys, first, place = np.unique(mix(names[0] ^ mix(names[1] ^ mix(names[2] + np.uint64(1)))), return_index=True, return_inverse=True)
         index = np.full(len(keys), -1)
         if len(self.keys):
             spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -150,8 +162,8 @@ class Encoder:
         new = np.flatnonzero(index < 0)
         if len(new):
             index[new] = len(self.keys) + np.arange(len(new))
-            self._learn(raw, starts[first[new]], ends[first[new]], keys[new], checks[new])
-        if (self.checks[index] != checks).any() or (checks[place] != hashes[1]).any():  # two pieces with one hash
+            self._learn(raw, starts[first[new]], ends[first[new]], keys[new], names[:, first[new]])
+        if (self.names[:, index][:, place] != names).any():  # two pieces with one key
             self.clear()
             out = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
             return [np.array(e.ids, self.dtype) for e in out]
@@ -249,9 +261,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text") + ", n_tokens long, name binary, body binary"
     rows = source.mapInArrow(scan, schema)
-    # recipes go by their id, chunks by their name: one job, one shuffle, each chunk kept once
+    # recipes go anywhere (those of one id needn't meet), chunks by their name: one job, one shuffle, each chunk kept once
     pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), staging.pieces_for(docs, 32 << 20, 1))
-    dealt = rows.repartition(pieces, F.coalesce("name", F.col("doc").cast("string").cast("binary")))
+    dealt = rows.repartition(pieces, F.coalesce("name", F.xxhash64("doc", "body").cast("string").cast("binary")))
 
     def once(batches):
         seen: set[bytes] = set()

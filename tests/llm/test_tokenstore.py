@@ -77,3 +77,29 @@ def test_crc_of_joined_parts():
     for _ in range(300):
         a, b = r.randbytes(r.randrange(50)), r.randbytes(r.choice([0, 1, 4, 400, 5000]))
         assert shift.combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_pieces_that_polynomials_modulo_2_to_the_64_confuse():
+    encoder = tokenstore.Encoder(contract.tokenizer_file(), "<u2")
+    for size in (1024, 2048, 4096):
+        word = "".join("ab"[bin(k).count("1") & 1] for k in range(size))
+        texts = [word, word.translate(str.maketrans("ab", "ba")), f"x {word}", "b" + word]
+        for x, y in zip(encoder.encode(pa.array(texts)), whole(texts)):
+            assert x.tolist() == y[:-1]
+
+
+def test_pieces_of_all_lengths_are_told_apart():
+    encoder = tokenstore.Encoder(contract.tokenizer_file(), "<u2")
+    texts = [c * n for c in "ab" for n in range(1, 40)] + ["a" * n + "\x00" * m for n in range(1, 18) for m in range(3)]
+    for _ in range(2):
+        for t, x, y in zip(texts, encoder.encode(pa.array(texts)), whole(texts)):
+            assert x.tolist() == y[:-1], repr(t)
+
+
+def test_one_key_for_two_pieces_goes_through_the_library(monkeypatch):
+    encoder = tokenstore.Encoder(contract.tokenizer_file(), "<u2")
+    monkeypatch.setattr(tokenstore, "mix", lambda x: x & np.uint64(1))
+    texts = ["one two three", "four five six", "one two three four"]
+    for _ in range(2):
+        for x, y in zip(encoder.encode(pa.array(texts)), whole(texts)):
+            assert x.tolist() == y[:-1]
