@@ -33,13 +33,10 @@ def html_escape(c) -> Column:
 
 
 def html_unescape(c) -> Column:
-    """The five entities back to characters, after tags are stripped, the ampersand last; a text without an ampersand as it is."""
-    bare = _swap(F.regexp_replace(col(c), "<[^>]*>", ""), [(new, old) for old, new in HTML_ESCAPES[::-1]])
-    return F.when(F.contains(col(c), F.lit("&")), bare).otherwise(col(c))
+    """A text that has an ampersand without its tags, and with every named and numeric entity as its characters; others as they are.
 
-
-def html_unescape_all(c) -> Column:
-    """As html_unescape(), for every named and numeric entity; in Python, batch by batch, for texts that have others than the five."""
+    The five entities stay inside whole-stage code; only texts that have others go, batch by batch, through Python.
+    """
 
     @F.pandas_udf("string")
     def decoded(texts):
@@ -48,7 +45,9 @@ def html_unescape_all(c) -> Column:
         return texts.map(html.unescape, na_action="ignore")
 
     bare = F.regexp_replace(col(c), "<[^>]*>", "")
-    return F.when(bare.rlike("&(?!(?:amp|lt|gt|quot|#39);)"), decoded(bare)).otherwise(html_unescape(c))
+    plain = _swap(bare, [(new, old) for old, new in HTML_ESCAPES[::-1]])
+    rich = F.when(bare.rlike("&(?!(?:amp|lt|gt|quot|#39);)[A-Za-z#]"), bare)
+    return F.when(F.contains(col(c), F.lit("&")), F.coalesce(decoded(rich), plain)).otherwise(col(c))
 
 
 def utf16_length(c) -> Column:
@@ -97,9 +96,27 @@ def type_name(c) -> Column:
 
 
 def serial_to_timestamp(c) -> Column:
-    """Days since 1899-12-30, to the millisecond, as a timestamp without zone."""
+    """Days since 1899-12-30, to the millisecond, as a timestamp without zone, whatever the session's."""
     milliseconds = F.floor((col(c) - 25569) * 86400000 + 0.5).cast("long")
-    return F.to_timestamp_ntz(F.date_format(F.timestamp_millis(milliseconds), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
+    return F.timestamp_add("MILLISECOND", milliseconds, _epoch())
+
+
+def _epoch() -> Column:
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+
+
+def utc(c) -> Column:
+    """A date or timestamp as UTC without zone: instants are turned, times without zone and dates are taken as they are."""
+    c = col(c)
+    return F.when(F.typeof(c) == "timestamp", F.timestamp_add("MICROSECOND", F.unix_micros(c.cast("timestamp")), _epoch())).otherwise(c.cast("timestamp_ntz"))
+
+
+def _milliseconds(c) -> tuple[Column, Column, Column]:
+    """(date, time, milliseconds) of a timestamp's text in UTC; more digits are cut, not rounded."""
+    text = utc(c).cast("string")
+    whole = F.substring_index(text, ".", 1)
+    more = F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise("")
+    return F.substring_index(whole, " ", 1), F.substring_index(whole, " ", -1), F.rpad(F.substring(more, 1, 3), 3, "0")
 
 
 def scaled_decimal(c) -> Column:
@@ -118,10 +135,37 @@ def round_half_up(c, places: int) -> Column:
 
 
 def format_stat(c) -> Column:
-    """A profile's number: three digits and an exponent from a million on, else grouped with two places at most."""
+    """A profile's number: three digits and an exponent from a million on, else grouped with two places at most; halves of the number's shortest decimal form are rounded away from zero."""
     c = col(c).cast("double")
     exponent = F.regexp_replace(F.format_string("%.2e", c), "e([+-])0?([0-9])", "e$1$2")
-    return F.when(F.abs(c) >= 1e6, exponent).otherwise(F.call_function("format_number", c, F.lit("#,##0.##")))
+    # under a million a number's shortest form has at most 17 digits, so the cast keeps all that count
+    rounded = F.round(F.when(F.abs(c) < 1e6, c).cast("decimal(38,24)"), 2)
+    grouped = F.call_function("format_number", rounded, F.lit("#,##0.##"))
+    return F.when(F.abs(c) >= 1e6, exponent).when((rounded == 0) & c.cast("string").startswith("-"), "-0").otherwise(grouped)
+
+
+def shortest_number(c) -> Column:
+    """A double's shortest text that reads back as the same number (of 17 digits the last may be one beside the nearest): no point behind whole numbers, an exponent only from 1e21 on and under 1e-6; infinities and NaN by name."""
+    c = col(c).cast("double")
+    size = F.abs(c)
+    text = size.cast("string")
+    # the text has up to 17 digits, more than the shortest at times: the fewest of 15 to 17 digits that read back
+    tried = F.array(*(F.format_string(f"%.{n}e", size) for n in (14, 15, 16)))
+    chosen = F.get(F.filter(tried, lambda x: x.try_cast("double") == size), F.lit(0))
+
+    def laid(parts: Column) -> Column:
+        """The text of a mantissa of 15 to 17 digits and its power of ten."""
+        digits, power = F.regexp_replace(F.replace(parts[0], F.lit("."), F.lit("")), "(?<=.)0+$", ""), parts[1].try_cast("int")
+        tail = F.regexp_replace(parts[0], "\\.?0+$", "")
+        large = F.when(F.length(digits) <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        return F.when(power >= 21, F.concat(tail, F.lit("e+"), power.cast("string"))).when(power >= 0, large).when(power >= -6, small).otherwise(F.concat(tail, F.lit("e"), power.cast("string")))
+
+    # a lambda's argument is computed once, however often it is named
+    again = F.get(F.transform(F.array(F.split(chosen, "e")), laid), F.lit(0))
+    plain = F.regexp_replace(text, "\\.0$", "")
+    named = F.when(F.isnan(c), "NaN").when(size == float("inf"), "Infinity").when(F.contains(text, F.lit("E")) | (F.length(text) > 16), again).otherwise(plain)
+    return F.when(c < 0, F.concat(F.lit("-"), named)).otherwise(named)
 
 
 def csv_field(c) -> Column:
@@ -131,13 +175,15 @@ def csv_field(c) -> Column:
 
 
 def iso_timestamp(c) -> Column:
-    """ISO 8601 in UTC with milliseconds, cut, not rounded."""
-    return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO 8601 in UTC with milliseconds, cut, not rounded; instants are turned to UTC, times without zone are taken as UTC."""
+    date, time, more = _milliseconds(c)
+    return F.concat(date, F.lit("T"), time, F.lit("."), more, F.lit("Z"))
 
 
 def preview_timestamp(c, null: str = "null") -> Column:
-    """A timestamp in a preview: a space instead of the T, no zone; null is marked."""
-    return F.coalesce(F.date_format(col(c), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(null))
+    """A timestamp in a preview: iso_timestamp() with a space instead of the T, no zone; null is marked."""
+    date, time, more = _milliseconds(c)
+    return F.coalesce(F.concat(date, F.lit(" "), time, F.lit("."), more), F.lit(null))
 
 
 def sanitize_filename(c) -> Column:
@@ -171,15 +217,28 @@ def line_indent(c) -> Column:
     return F.floor(tabs + (F.length(lead) - tabs) / 4).cast("int")
 
 
+# The classes of spans.
+MARKS = (("comment", "dax-cm"), ("string", "dax-str"), ("number", "dax-num"), ("keyword", "dax-kw"))
+#: Tokens of an expression: comments to the end of their line, strings, words and numbers, what lies between.
+TOKEN = r"""//[^\n\r]*|--[^\n\r]*|"[^"]*"|\b[0-9]+\.?[0-9]*\b|(?i:\bORDER BY\b)|[A-Za-z0-9_]+|[^A-Za-z0-9_"/-]+|["/-]"""
+
+
 def token_markup(c) -> Column:
-    """An expression marked up for display: comments, strings, numbers and keywords in spans."""
-    text = _swap(F.coalesce(col(c), F.lit("")), HTML_ESCAPES[:4])
-    mark = lambda c, pattern, kind: F.regexp_replace(c, pattern, f'<span class="{kind}">$1</span>')
-    text = mark(text, "(?m)(//.*$)", "comment")
-    text = mark(text, "(?m)(--.*$)", "comment")
-    text = mark(text, "(&quot;[^&]*?&quot;)", "string")
-    text = mark(text, "\\b([0-9]+\\.?[0-9]*)\\b", "number")
-    return mark(text, f"(?i)\\b({'|'.join(KEYWORDS)})\\b", "keyword")
+    """An expression marked up for display: one scan over its tokens, entities decoded first; comments, strings, numbers and keywords stand in spans, which don't nest."""
+    marks = dict(MARKS)
+    tokens = F.regexp_extract_all(F.coalesce(html_unescape(c), F.lit("")), F.lit(TOKEN), F.lit(0))
+
+    def marked(token: Column) -> Column:
+        kind = (
+            F.when(token.startswith("//") | token.startswith("--"), marks["comment"])
+            .when(token.startswith('"') & (F.length(token) > 1), marks["string"])
+            .when(token.rlike("^[0-9]+\\.?[0-9]*$"), marks["number"])
+            .when(F.upper(token).isin(*KEYWORDS), marks["keyword"])
+        )
+        shown = _swap(token, HTML_ESCAPES[:4])
+        return F.coalesce(F.concat(F.lit('<span class="'), kind, F.lit('">'), shown, F.lit("</span>")), shown)
+
+    return F.array_join(F.transform(tokens, marked), "")
 
 
 def object_key(kind: str, *parts) -> Column:

@@ -54,8 +54,18 @@ class Model:
 
 
 def model_of(spark: SparkSession, rows: dict[str, list[tuple]]) -> Model:
-    """A model of literal rows by table; tables that aren't given are empty."""
-    return Model(*(spark.createDataFrame(rows.get(f.name, []), SCHEMAS[f.name]) for f in fields(Model)))
+    """A model of literal rows by table; tables that aren't given are empty. They are local relations, whose sizes the optimizer knows."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    def table(name: str) -> DataFrame:
+        schema = to_arrow_schema(StructType.fromDDL(SCHEMAS[name]))
+        listed = rows.get(name, [])
+        columns = [pa.array([r[k] for r in listed], f.type) for k, f in enumerate(schema)]
+        return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema), SCHEMAS[name])
+
+    return Model(*(table(f.name) for f in fields(Model)))
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:

@@ -28,10 +28,14 @@ def orphans(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
     return df.join(other.select(on), on, "left_anti")
 
 
+#: Plans under so many bytes are numbered in one task; ranges into which larger ones are cut.
+ONE_TASK_BYTES, NUMBER_RANGES = 32 << 20, 1024
+
+
 def dictionary(df: DataFrame, column: str, least: int = 0) -> DataFrame:
-    """(data_id, value): ids from `least` for the distinct values in ascending order. The numbering runs over distinct values only."""
+    """(data_id, value): ids from `least` for the distinct values in ascending order."""
     values = df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
-    return values.select((F.row_number().over(Window.orderBy("value")) - 1 + least).cast("long").alias("data_id"), "value")
+    return dense_ids(values, ["value"], least).select("data_id", "value")
 
 
 def decode(ids: DataFrame, words: DataFrame, id_column: str) -> DataFrame:
@@ -40,9 +44,34 @@ def decode(ids: DataFrame, words: DataFrame, id_column: str) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, order: list[str], least: int = 0, part: list[str] | None = None, name: str = "data_id") -> DataFrame:
-    """Ids in ascending order of `order`, from `least`."""
-    over = Window.partitionBy(*(part or [])).orderBy(*order)
-    return df.withColumn(name, (F.row_number().over(over) - 1 + least).cast("long"))
+    """Ids in ascending order of `order`, from `least`, in each part or in all. Rows alike in `order` are numbered in any order."""
+    if part:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1 + least).cast("long"))
+    if 0 < _plan_bytes(df) <= ONE_TASK_BYTES:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + least).cast("long"))
+    return _numbered_by_ranges(df, order, least, name)
+
+
+def _plan_bytes(df: DataFrame) -> int:
+    """What the optimizer takes a plan's size for."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _numbered_by_ranges(df: DataFrame, order: list[str], least: int, name: str) -> DataFrame:
+    """dense_ids() of any number of rows: each range of `order` is numbered on its own, after the rows of the ranges before it.
+
+    The bounds are the keys whose hashes come first, so they are a sample that is the same each time the plan runs; as
+    many bounds as ranges, of any number of rows, reach the driver.
+    """
+    key = F.struct(*order)
+    chosen = df.select(key.alias("key")).orderBy(F.xxhash64("key")).limit(NUMBER_RANGES - 1).select(F.sort_array(F.collect_set("key")).alias("bounds"))
+    bounded = df.crossJoin(F.broadcast(chosen)).withColumn("numbered_range", F.size(F.filter("bounds", lambda b: b <= key))).drop("bounds")
+    sizes = bounded.groupBy("numbered_range").agg(F.count(F.lit(1)).alias("numbered_count"))
+    before = F.sum("numbered_count").over(Window.orderBy("numbered_range")) - F.col("numbered_count")
+    offsets = sizes.select("numbered_range", before.alias("numbered_before"))
+    inside = F.row_number().over(Window.partitionBy("numbered_range").orderBy(*order))
+    told = bounded.withColumn("numbered_inside", inside).join(F.broadcast(offsets), "numbered_range")
+    return told.withColumn(name, (F.col("numbered_before") + F.col("numbered_inside") - 1 + least).cast("long")).drop("numbered_range", "numbered_before", "numbered_inside")
 
 
 def running_offset(df: DataFrame, part: list[str], order: str, size: str, name: str = "offset") -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import zipfile
 from collections import Counter
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lattica.functions import text as tx
 
@@ -16,8 +16,21 @@ FORMATS = ("csv", "parquet")
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
-    """Timestamps in the export's form; other columns as they are."""
-    return df.select(*(tx.iso_timestamp(_name(f.name)).alias(f.name) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(_name(f.name)) for f in df.schema))
+    """Columns in the export's form: dates and timestamps as ISO 8601 in UTC, doubles in their shortest text, decimals without trailing zeros; others as they are."""
+
+    def ready(f: T.StructField) -> Column:
+        c = F.col(_name(f.name))
+        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return tx.iso_timestamp(c)
+        if isinstance(f.dataType, T.FloatType):
+            return tx.shortest_number(c.cast("string"))  # its own digits, not those of the double beside it
+        if isinstance(f.dataType, T.DoubleType):
+            return tx.shortest_number(c)
+        if isinstance(f.dataType, T.DecimalType) and f.dataType.scale:
+            return F.regexp_replace(c.cast("string"), "\\.?0+$", "")
+        return c
+
+    return df.select(*(ready(f).alias(f.name) for f in df.schema))
 
 
 def _name(name: str) -> str:
@@ -56,7 +69,7 @@ def file_names(tables: list[str]) -> list[str]:
 
 
 def export_zip(tables: dict[str, DataFrame], path: str, kind: str = "csv") -> list[str]:
-    """One archive with a file for each table, streamed row by row through the driver; it is for downloads, not for large tables. Returns the members."""
+    """One archive with a file for each table; it is for downloads. Rows stream through the driver, a partition of at most CHUNK rows at a time, so no table is held there. Returns the members."""
     if kind not in FORMATS:
         raise ValueError(f"unknown export format: {kind}")
     names = [f"{n}.{kind}" for n in file_names(list(tables))]
@@ -66,15 +79,35 @@ def export_zip(tables: dict[str, DataFrame], path: str, kind: str = "csv") -> li
                 if kind == "csv":
                     header = spark_header(df)
                     out.write(header.encode())
-                    for row in csv_lines(df).toLocalIterator(prefetchPartitions=True):
+                    for row in csv_lines(df).toLocalIterator():
                         out.write(row["line"].encode() + b"\n")
                 else:
-                    import pyarrow.parquet as pq
-
-                    pq.write_table(df.toArrow(), out)
+                    _write_parquet_member(df, out)
     return names
 
 
+def _write_parquet_member(df: DataFrame, out) -> None:
+    """A table as one Parquet file, a row group for each batch of rows that the tasks have encoded."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+
+    def encode(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    with pq.ParquetWriter(out, schema) as writer:
+        for row in df.mapInArrow(encode, "batch binary").toLocalIterator():
+            table = pa.ipc.open_stream(row["batch"]).read_all()
+            if table.num_rows:
+                writer.write_table(table.cast(schema))
+
+
 def spark_header(df: DataFrame) -> str:
     """The first line of a CSV export."""
     quoted = ('"' + c.replace('"', '""') + '"' if re.search('[,"\n\r]', c) else c for c in df.columns)

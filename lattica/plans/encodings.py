@@ -14,11 +14,11 @@ def _status_runs(table):
     return rel.runs(table("orders"), ["o_custkey"], "o_orderkey", "o_orderstatus")
 
 
-@query("SELECT o_custkey, o_orderstatus AS value, cast(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL")
+@query("SELECT o_custkey, run, row_number() OVER (PARTITION BY o_custkey, run ORDER BY o_orderkey) - 1 AS at, o_orderstatus AS value FROM (SELECT *, cast(sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS run FROM (SELECT o_custkey, o_orderkey, o_orderstatus, CASE WHEN lag(o_orderstatus) OVER w = o_orderstatus THEN 0 ELSE 1 END AS new FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)))")
 def rle_expand(table, spark):
-    """Runs of each customer's order states, expanded again: as many of each state as there are orders."""
+    """Runs of each customer's order states, expanded again: the state at each place of each run."""
     rows = rel.expand_runs(_status_runs(table).select("o_custkey", "run", "value", "n"))
-    return rows.groupBy("o_custkey", "value").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("o_custkey", F.col("run").cast("long").alias("run"), F.col("at").cast("long").alias("at"), "value")
 
 
 @query(f"SELECT o_custkey, cast(run AS BIGINT) AS run, cast(n AS BIGINT) AS n, cast(coalesce(sum(n) OVER (PARTITION BY o_custkey ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM ({_RUNS})")

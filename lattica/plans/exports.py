@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lattica.functions import text as tx
@@ -12,26 +9,27 @@ from lattica.operators import markdown, sinks
 from lattica.operators import profile as pf
 from lattica.plans import models
 from lattica.plans.registry import query
+from lattica.sources import folders
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lattica-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+_CSV = "CASE WHEN regexp_matches(props, '[,\"\\n\\r]') THEN '\"' || replace(props, '\"', '\"\"') || '\"' ELSE props END"
 
 
-_CSV = "CASE WHEN regexp_matches(props, '[,\"\\n\\r]') THEN '\"' || replace(props, '\"', '\"\"') || '\"' ELSE props END"
+def _shortest(x: str) -> str:
+    return f"CASE WHEN abs({x}) < 1e15 AND {x} = floor({x}) THEN cast(cast({x} AS BIGINT) AS VARCHAR) ELSE cast({x} AS VARCHAR) END"
 
 
-@query(f"SELECT event_id || ',' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || ',' || event_type || ',' || {_CSV} AS line FROM events")
+@query(f"SELECT event_id || ',' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || ',' || event_type || ',' || {_shortest('value')} || ',' || {_shortest('cast(event_id % 9 + 1 AS DOUBLE) * 1e21')} || ',' || {_shortest('floor(value) * 1e5')} || ',' || {_CSV} AS line FROM events")
 def csv_lines(table, spark):
-    """Events as lines of a CSV file."""
-    return sinks.csv_lines(table("events").select("event_id", "ts", "event_type", "props"))
+    """Events as lines of a CSV file, with numbers beyond what is written without exponent, and whole ones."""
+    more = (((F.col("event_id") % 9 + 1).cast("double") * 1e21).alias("large"), (F.floor("value").cast("double") * 1e5).alias("whole"))
+    return sinks.csv_lines(table("events").select("event_id", "ts", "event_type", "value", *more, "props"))
 
 
 @query("SELECT doc_id, text, lang, source FROM documents")
 def csv_roundtrip(table, spark):
     """Texts with quotes, commas and line breaks, written as CSV and read again."""
-    docs, path = table("documents").select("doc_id", "text", "lang", "source"), _folder(spark)
+    docs, path = table("documents").select("doc_id", "text", "lang", "source"), folders.shared(spark)
     sinks.write_csv(docs, path)
     return sinks.read_csv(spark, path, docs.schema)
 
@@ -39,7 +37,7 @@ def csv_roundtrip(table, spark):
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def parquet_roundtrip(table, spark):
     """Orders written as Parquet and read again."""
-    orders, path = table("orders"), _folder(spark)
+    orders, path = table("orders"), folders.shared(spark)
     sinks.write_parquet(orders, path)
     return spark.read.schema(orders.schema).parquet(path)
 

@@ -65,8 +65,8 @@ _DISTINCT = {"orders": NUMBERS["orders"] + TEXTS["orders"] + DATES["orders"], "e
 @query(_join([f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS \"distinct\" FROM {t}" for t, cs in _DISTINCT.items() for c in cs] + [f"SELECT 'labelled' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS \"distinct\" FROM {_LABELLED}" for c in ("quality", "toxic", "lang")]))
 def profile_distinct(table, spark):
     """Exact distinct counts; null isn't a value."""
-    parts = [pf.profile(table(t), columns=cs).select(F.lit(t).alias("table_name"), "column_name", "distinct") for t, cs in _DISTINCT.items()]
-    labelled = pf.profile(_labelled(table), columns=["quality", "toxic", "lang"]).select(F.lit("labelled").alias("table_name"), "column_name", "distinct")
+    parts = [pf.distinct(table(t).select(*cs)).select(F.lit(t).alias("table_name"), "column_name", "distinct") for t, cs in _DISTINCT.items()]
+    labelled = pf.distinct(_labelled(table).select("quality", "toxic", "lang")).select(F.lit("labelled").alias("table_name"), "column_name", "distinct")
     return parts[0].unionByName(parts[1]).unionByName(labelled)
 
 

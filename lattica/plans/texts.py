@@ -19,12 +19,18 @@ def html_escape(table, spark):
 _BARE = "regexp_replace(html, '<[^>]*>', '', 'g')"
 
 
-@query(f"SELECT page_id, CASE WHEN contains(html, '&') THEN replace(replace(replace(replace(replace({_BARE}, '&#39;', ''''), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&') ELSE html END AS bare FROM pages")
+@query(f"SELECT page_id, CASE WHEN contains(html, '&') THEN replace(replace(replace(replace(replace(replace(replace({_BARE}, '&#39;', ''''), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') ELSE html END AS bare FROM pages")
 def html_unescape(table, spark):
     """Pages without tags and entities."""
     return table("pages").select("page_id", tx.html_unescape("html").alias("bare"))
 
 
+@query("SELECT p_partkey, 'café € < ' || p_name || ' &' AS bare FROM part")
+def html_unescape_named(table, spark):
+    """Named and numeric entities beyond the five."""
+    return table("part").select("p_partkey", tx.html_unescape(F.concat(F.lit("<i>caf&eacute;</i> &#8364; &lt; "), F.col("p_name"), F.lit(" &"))).alias("bare"))
+
+
 @query("SELECT page_id, replace(coalesce(url, ''), 'e', '|') AS raw, replace(replace(coalesce(url, ''), 'e', '|'), '|', '\\|') AS cell FROM pages")
 def md_escape(table, spark):
     """Cells of a Markdown table; bars are put in, as the urls have none."""
@@ -63,10 +69,17 @@ def format_grouped(table, spark):
     return table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), tx.format_grouped(F.sum("o_orderkey") * 1000).alias("shown"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, strftime(make_timestamp(event_id * 86461000007), '%Y-%m-%dT%H:%M:%S.%gZ') AS instant FROM events")
 def iso_timestamp(table, spark):
-    """Event times as ISO 8601."""
-    return table("events").select("event_id", tx.iso_timestamp("ts").alias("iso"))
+    """Event times as ISO 8601; and instants, which don't depend on the session's zone."""
+    return table("events").select("event_id", tx.iso_timestamp("ts").alias("iso"), tx.iso_timestamp(F.timestamp_micros(F.col("event_id") * 86461000007)).alias("instant"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN format('{:,}', event_id // 8 + 1) WHEN event_id % 3 = 1 THEN '-' || format('{:,}', event_id // 8) || '.13' ELSE format('{:,}', event_id // 8) || '.5' END AS shown FROM events")
+def format_stat_halves(table, spark):
+    """Numbers that lie half way between two of two places."""
+    whole = F.floor(F.col("event_id") / 8).cast("double")
+    return table("events").select("event_id", tx.format_stat(F.when(F.col("event_id") % 3 == 0, whole + 0.995).when(F.col("event_id") % 3 == 1, -whole - 0.125).otherwise(whole + 0.5)).alias("shown"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'null' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%g') END AS shown FROM events")
@@ -144,19 +157,14 @@ def type_mapping(table, spark):
     return table("lineitem").select("l_linenumber", "l_quantity", tx.type_name(F.col("l_quantity").cast("int") % 20).alias("kind"))
 
 
-def _markup_sql() -> str:
-    text = "'VAR total = SUM(x) + ' || p_size || ' -- \"' || p_brand || '\" of ' || p_name || chr(10) || 'return IF(a < 2, BLANK(), \"' || p_type || '\")'"
-    for a, b in tx.HTML_ESCAPES[:4]:
-        text = f"replace({text}, '{a}', '{b}')"
-    for pattern, kind, options in (("(//[^\\n]*)", "comment", "g"), ("(--[^\\n]*)", "comment", "g"), ("(&quot;[^&]*?&quot;)", "string", "g"), ("\\b([0-9]+\\.?[0-9]*)\\b", "number", "g"), (f"\\b({'|'.join(tx.KEYWORDS)})\\b", "keyword", "gi")):
-        text = f"regexp_replace({text}, '{pattern}', '<span class=\"{kind}\">\\1</span>', '{options}')"
-    return f"SELECT p_partkey, {text} AS marked FROM part"
+_MARKED = """SELECT p_partkey, '<span class="dax-kw">VAR</span> total = SUM(x) + <span class="dax-num">' || p_size || '</span> <span class="dax-cm">-- &quot;' || p_brand || '&quot; &amp; ''4'' of ' || p_name || '</span>' || chr(10)
+|| '<span class="dax-kw">return</span> <span class="dax-kw">IF</span>(a1 &lt; <span class="dax-num">2.5</span>, <span class="dax-kw">BLANK</span>(), <span class="dax-str">&quot;' || p_type || ' 7&quot;</span>) / variance' AS marked FROM part"""
 
 
-@query(_markup_sql())
+@query(_MARKED)
 def token_markup(table, spark):
-    """Expressions marked up for display."""
-    code = F.concat(F.lit("VAR total = SUM(x) + "), F.col("p_size"), F.lit(' -- "'), F.col("p_brand"), F.lit('" of '), F.col("p_name"), F.lit('\nreturn IF(a < 2, BLANK(), "'), F.col("p_type"), F.lit('")'))
+    """Expressions marked up for display; some characters come as entities."""
+    code = F.concat(F.lit("VAR total = SUM(x) + "), F.col("p_size"), F.lit(' -- "'), F.col("p_brand"), F.lit("&quot; &amp; &#39;4&apos; of "), F.col("p_name"), F.lit('\nreturn IF(a1 &lt; 2.5, BLANK(), "'), F.col("p_type"), F.lit(' 7") / variance'))
     return table("part").select("p_partkey", tx.token_markup(code).alias("marked"))
 
 

@@ -23,7 +23,7 @@ def one(spark, value, f, kind="string"):
     [
         (tx.utf16_length, "a😀b", 4), (tx.token_estimate, "a😀b", 1), (tx.token_estimate, "abcdef", 2), (tx.token_estimate, None, 0), (tx.token_estimate, "abcde\U0001f600\U0001f600\U0001f600", 3),
         (tx.html_escape, "<a href=\"x\">'&'</a>", "&lt;a href=&quot;x&quot;&gt;&#39;&amp;&#39;&lt;/a&gt;"), (tx.html_unescape, "<b>a</b> &lt;&amp;lt;", "a <&lt;"), (tx.html_unescape, "<b>no entity</b>", "<b>no entity</b>"),
-        (tx.html_unescape_all, "&eacute;&#233;&amp;", "éé&"), (tx.md_escape, "a|b", "a\\|b"), (tx.md_escape, None, ""), (tx.csv_field, 'a"b', '"a""b"'), (tx.csv_field, "a\nb", '"a\nb"'), (tx.csv_field, "a\rb", '"a\rb"'),
+        (tx.html_unescape, "&eacute;&#233;&amp;", "éé&"), (tx.md_escape, "a|b", "a\\|b"), (tx.md_escape, None, ""), (tx.csv_field, 'a"b', '"a""b"'), (tx.csv_field, "a\nb", '"a\nb"'), (tx.csv_field, "a\rb", '"a\rb"'),
         (tx.csv_field, None, ""), (tx.csv_field, " a ", " a "), (tx.sanitize_filename, 'a<b>:"/\\|?*\x01c', "a_b_________c"), (tx.export_name, "  ", "semantic-model"), (tx.export_name, " a/b ", "a_b"), (tx.export_name, None, "semantic-model"),
         (tx.unquote_ident, "'it''s'", "it's"), (tx.unquote_ident, "plain", "plain"), (tx.unquote_ident, "'", "'"), (tx.line_indent, "\t\t  x", 2), (tx.line_indent, "        x", 2), (tx.line_indent, "x", 0), (tx.line_indent, "\t   x", 1),
         (tx.cardinality_label, "oneToOne", "1:1"), (tx.cardinality_label, "", "*:1"), (tx.cardinality_label, "odd", "odd"),
@@ -110,6 +110,10 @@ def test_export(spark, tmp_path):
         assert z.read("One_1.csv").decode() == 'a,"b,c",d,t\n1,"say ""hi"", ok\nthere",,2024-01-01T12:00:00.000Z\n2,,0.5,\n'
         assert z.read("Two.csv").decode() == 'a,"b,c",d,t\n'
     assert sinks.export_zip({"T": df}, f"{tmp_path}/y.zip", "parquet") == ["T.parquet"]
+    import pyarrow.parquet as pq
+
+    with zipfile.ZipFile(f"{tmp_path}/y.zip") as z:
+        assert pq.read_table(z.open("T.parquet")).to_pylist() == [r.asDict() for r in df.collect()]
     with pytest.raises(ValueError):
         sinks.export_zip({}, f"{tmp_path}/z.zip", "xml")
     sinks.write_csv(df, f"file://{tmp_path}/csv")
@@ -153,3 +157,56 @@ def test_report(spark):
     assert markdown.text(markdown.report(empty)).first()["text"] == "# Model: Empty Model\nCompatibility Level: 1604 | Tables: 0 | Measures: 0 | Relationships: 0\n"
     numbered = markdown.numbered(markdown.report(m)).orderBy("n").collect()
     assert [r["line"] for r in numbered] == markdown.text(markdown.report(m)).first()["text"].split("\n") or "\n".join(r["line"] for r in numbered) == text
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_do_not_depend_on_the_sessions_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("SELECT 45000.5D AS x, TIMESTAMP_NTZ'2024-03-10 02:30:00.1239' AS n, timestamp_micros(1704067200000000) AS t, DATE'2024-01-01' AS d, cast(null AS TIMESTAMP) AS z")
+        told = df.select(tx.serial_to_timestamp("x"), tx.iso_timestamp("n"), tx.iso_timestamp("t"), tx.iso_timestamp("d"), tx.preview_timestamp("t"), tx.preview_timestamp("z")).toDF(*"abcdef").first()
+        assert tuple(told) == (datetime.datetime(2023, 3, 15, 12), "2024-03-10T02:30:00.123Z", "2024-01-01T00:00:00.000Z", "2024-01-01T00:00:00.000Z", "2024-01-01 00:00:00.000", "null")
+        ranged = pf.ranges(df.select("n", "t", "d")).collect()
+        assert [r["date_min"] for r in ranged] == [datetime.datetime(2024, 3, 10, 2, 30, 0, 123900), datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 1)]
+        # an hour that the zone leaves out holds as many times as any other
+        gap = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ'2024-03-10 01:30:00', TIMESTAMP_NTZ'2024-03-10 03:30:00', INTERVAL 30 MINUTES)) AS n")
+        assert pf.distinct(gap).first()["distinct"] == 5
+        assert sinks.csv_lines(df.select("n", "t", "d")).first()["line"] == "2024-03-10T02:30:00.123Z,2024-01-01T00:00:00.000Z,2024-01-01T00:00:00.000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("value, want", [(0.125, "0.13"), (-0.125, "-0.13"), (1.005, "1.01"), (-0.001, "-0"), (999999.995, "1,000,000"), (-0.0, "-0"), (12345.675, "12,345.68"), (None, None)])
+def test_format_stat_halves(spark, value, want):
+    assert one(spark, value, tx.format_stat, "double") == want
+
+
+def test_shortest_numbers(spark):
+    cases = {1.0: "1", 1e21: "1e+21", 1e20: "100000000000000000000", 123456789.5: "123456789.5", 1e-6: "0.000001", 1e-7: "1e-7", 1.5e-7: "1.5e-7", 0.000123: "0.000123", 9.36 * 1e22: "9.36e+22", 2e23: "2e+23", -3.5: "-3.5", 0.1 + 0.2: "0.30000000000000004", 2.0**-44: "5.684341886080802e-14", float("-inf"): "-Infinity", 1e7: "10000000", 0.001: "0.001", -0.0: "0"}
+    df = spark.createDataFrame(list(cases.items()), "x double, want string")
+    assert df.filter(tx.shortest_number("x") != F.col("want")).collect() == []
+    row = spark.sql("SELECT 0.1F AS f, 1.50BD AS d, 10BD AS w, 1e21D AS x, cast(2 AS TINYINT) AS b, true AS t")
+    assert sinks.csv_lines(row).first()["line"] == "0.1,1.5,10,1e+21,2,true"
+
+
+def test_markup(spark):
+    code = "VAR m = SELECTEDVALUE(&#39;Calendar&#39;[Year 2]) // a \"b\" 1\nRETURN \"x < IF 1\" & m1 -- IN\norder by 1.5 - 2 / \"open"
+    got = one(spark, code, tx.token_markup)
+    assert got == (
+        "<span class=\"dax-kw\">VAR</span> m = SELECTEDVALUE('Calendar'[Year <span class=\"dax-num\">2</span>]) <span class=\"dax-cm\">// a &quot;b&quot; 1</span>\n"
+        '<span class="dax-kw">RETURN</span> <span class="dax-str">&quot;x &lt; IF 1&quot;</span> &amp; m1 <span class="dax-cm">-- IN</span>\n'
+        '<span class="dax-kw">order by</span> <span class="dax-num">1.5</span> - <span class="dax-num">2</span> / &quot;open'
+    )
+    assert one(spark, None, tx.token_markup) == "" and one(spark, "", tx.token_markup) == ""
+
+
+def test_numbering_by_ranges(spark, monkeypatch):
+    df = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(3000)).alias("k"), F.concat(F.lit("v"), F.col("id") % 7).alias("s")).repartition(7)
+    want = {(r["k"], r["s"], r["data_id"]) for r in rel.dense_ids(df.distinct(), ["k", "s"], 3).collect()}
+    words = {tuple(r) for r in rel.dictionary(df, "s", 2).collect()}
+    monkeypatch.setattr(rel, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(rel, "NUMBER_RANGES", 16)
+    assert {(r["k"], r["s"], r["data_id"]) for r in rel.dense_ids(df.distinct(), ["k", "s"], 3).collect()} == want
+    assert {tuple(r) for r in rel.dictionary(df, "s", 2).collect()} == words == {(k + 2, f"v{k}") for k in range(7)}
+    assert rel.dense_ids(df.limit(0), ["k"]).count() == 0
