@@ -1,8 +1,9 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton passes over each text once and finds anchors: at-signs, `://`, plus signs, digits and
-identifier cues ("iban", "token", ...). From each anchor a local parser expands to the left and right, validates
-what it finds and fixes the boundaries. Cues are found whatever the case of their ASCII letters. Parsers never rescan: the work is linear in the text.
+An Aho-Corasick automaton passes over each text once and finds anchors: at-signs, `://`, colons, plus signs, digits,
+identifier cues ("iban", "token", ...) and beginnings that mark a key without any cue ("-----BEGIN", "eyJ", "AKIA", ...).
+From each anchor a local parser expands to the left and right, validates what it finds and fixes the boundaries. Cues are
+found whatever the case of their ASCII letters. Parsers never rescan: the work is linear in the text.
 
 Nothing is cut by its length: secrets, and users, passwords, hosts and paths of URLs, are read to their ends. What makes a
 find is bounded: a secret has 8 characters or more and its sign (: or =) at most 4 spaces on either side; between an account
@@ -12,18 +13,37 @@ for a number's first letters (up to 4).
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Kinds in their order for spans that start together. The first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "account", "secret", "url")
+KINDS = ("email", "ip", "card", "phone", "iban", "account", "secret", "url", "ipv6")
 BASE_KINDS = KINDS[:4]
 
 #: Words that announce an account or identity number, and words that announce a secret.
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "konto", "cuenta", "compte")
 SECRET_CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "api key", "access_key")
+#: How keys begin that need no cue, and how they go on: fixed values.
+KEYS = (
+    ("AKIA", "[0-9A-Z]{16}"),
+    ("ASIA", "[0-9A-Z]{16}"),
+    ("AIza", "[0-9A-Za-z_-]{35}"),
+    ("ghp_", "[0-9A-Za-z]{36}"),
+    ("gho_", "[0-9A-Za-z]{36}"),
+    ("ghs_", "[0-9A-Za-z]{36}"),
+    ("github_pat_", "[0-9A-Za-z_]{22,}+"),
+    ("glpat-", "[0-9A-Za-z_-]{20,}+"),
+    ("sk-", "[0-9A-Za-z_-]{20,}+"),
+    ("sk_live_", "[0-9A-Za-z]{16,}+"),
+    ("xoxb-", "[0-9A-Za-z-]{20,}+"),
+    ("xoxp-", "[0-9A-Za-z-]{20,}+"),
+    ("eyJ", r"[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]*+"),
+)
+#: A block of a private key, from its first line to its last.
+BLOCK_BEGIN, BLOCK_END = "-----BEGIN ", "-----END "
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -43,6 +63,23 @@ def iban_valid(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+HEX = frozenset("0123456789abcdefABCDEF")
+
+
+def is_ipv6(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end], a whole run of hexadecimal digits and colons that no letter or digit touches, is an IPv6 address of at least three groups."""
+    if end - start > 39 or text[start - 1 : start].isalnum() or text[end : end + 1].isalnum():
+        return False
+    run = text[start:end]
+    if sum(map(bool, run.split(":"))) < 3:
+        return False
+    try:
+        ipaddress.IPv6Address(run)
+    except ValueError:
+        return False
+    return True
+
+
 class Finder:
     """The automaton and the parsers; one for each task."""
 
@@ -57,7 +94,15 @@ class Finder:
         for cues, kind in ((ACCOUNT_CUES, "a"), (SECRET_CUES, "s")):
             for cue in cues:
                 self.anchors.add_word(cue, (kind, len(cue)))
+        self.anchors.add_word(":", (":", 1))
+        self.anchors.add_word(BLOCK_BEGIN.lower(), ("b", len(BLOCK_BEGIN)))
+        for head, _ in KEYS:
+            self.anchors.add_word(head.lower(), ("k", len(head)))
         self.anchors.make_automaton()
+        self.keys = {head: re.compile(f"{head}{rest}(?![0-9A-Za-z_])").match for head, rest in KEYS}
+        self.block = re.compile("-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----").match
+        self.block_end = re.compile("-----END [A-Z0-9 ]*-----").search
+        self.groups = re.compile("[0-9A-Fa-f:]++").match
         self.local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
         self.domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++").match
         self.address = re.compile(r"[0-9]++(?:\.[0-9]++){3}").match
@@ -75,7 +120,7 @@ class Finder:
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         """(start, kind, end) in code points, by start and then in the order of KINDS."""
         found: list[tuple[int, int, int]] = []
-        next_email = next_address = next_chain = next_phone = next_iban = next_bare = next_path = 0
+        next_email = next_address = next_chain = next_phone = next_iban = next_bare = next_path = next_groups = next_block = 0
         # cues are known by their small letters; bytes.lower() turns A-Z only, so places stay the same
         lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         for last, (kind, size) in self.anchors.iter(lowered):
@@ -125,8 +170,25 @@ class Finder:
                     elif m := self.path(text, end):
                         end = next_path = m.end()
                     found.append((start, 7, end))
+            elif kind == ":":
+                if p >= next_groups:
+                    start = p
+                    while start > next_groups and text[start - 1] in HEX:
+                        start -= 1
+                    next_groups = self.groups(text, start).end()
+                    if is_ipv6(text, start, next_groups):
+                        found.append((start, 8, next_groups))
+            elif kind == "b":
+                if p >= next_block and (m := self.block(text, p)):
+                    end = self.block_end(text, m.end())
+                    # without an end there is none for the blocks behind either
+                    next_block = end.end() if end else len(text)
+                    found.append((p, 6, next_block))
             elif text[p - 1 : p].isalnum():
                 continue  # a cue inside a longer word
+            elif kind == "k":
+                if (match := self.keys.get(text[p : last + 1])) and (m := match(text, p)):
+                    found.append((p, 6, m.end()))
             elif kind == "a":
                 if (m := self.number(text, last + 1)) and sum(c.isdigit() for c in m[1]) >= 6:
                     found.append((m.start(1), 5, m.end(1)))
@@ -189,11 +251,12 @@ def _is(kind: str):
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts and digests of find_private()'s rows."""
+    """The counts and digests of find_private()'s rows; n_spans counts all kinds."""
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
     return found.select(
         "doc_id",
         *(F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
+        F.size("spans").cast("long").alias("n_spans"),
         F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
     )
