@@ -53,7 +53,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size counts words of `[^\\x20\\x09-\\x0D]+`; null and empty texts have 0 and are taken 0 times. taken is what the mix
     takes of the document: whole passes, as many for all documents of a source but one more for those that come first in
     the source's order until its target is met, so a source misses its target by less than one document. position is
-    the training position in [0, 1) of the document's first pass, null if it isn't taken. A null source is a source of
+    the training position in [0, 1] of the document's first pass, null if it isn't taken. A null source is a source of
     its own; null ids, rows that share an id and ties are ordered by their text's hash; equal rows are
     interchangeable. The order comes from hashes of id and text, and of what is carried, so reruns agree. Other columns of
     docs are not read.
@@ -61,8 +61,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return _plan(docs, id_col, text_col, source_col, weights, total, most, carry).orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
 
 
-def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
-    """What mix() returns, in no order."""
+def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, carry: tuple[str, ...] = (), laid_out: bool = False) -> DataFrame:
+    """What mix() returns, in no order; laid_out adds mix_start, the source's words before the document, and mix_slope."""
     own = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
@@ -85,10 +85,7 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rest = F.col("target") - whole * F.col("source_size")
     in_last = (start + F.col("size") / 2 < rest) & (whole < most)
     passes = F.when(F.col("size") == 0, F.lit(0)).otherwise(whole + in_last.cast("int"))
-    # demand of a source up to t: target * (t * (1 + s) - s * t * t); its inverse at the document's first word
-    share = F.least(F.lit(1.0), F.when(F.col("target") > 0, start / F.col("target")).otherwise(0.0))
-    s = F.col("slope")
-    position = F.when(s == 0, share).otherwise(((1 + s) - F.sqrt(F.greatest(F.lit(0.0), (1 + s) * (1 + s) - 4 * s * share))) / (2 * s))
+    place = place_of(start, F.col("target"), F.col("slope"))
     return placed.select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
@@ -96,21 +93,36 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         "source_size",
         "target",
         (F.col("size") * passes).cast("long").alias("taken"),
-        F.when(passes > 0, position).alias("position"),
+        F.when(passes > 0, place).alias("position"),
+        *([start.alias("mix_start"), F.col("slope").alias("mix_slope")] if laid_out else []),
         *(F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)),
     )
 
 
+def place_of(words, target, slope):
+    """Where in training a source of this target and slope has used so many words: its demand up to t is target * (t * (1 + slope) - slope * t * t), inverted. What lies beyond the target, by less than one document, stands at the end."""
+    share = F.least(F.lit(1.0), F.when(target > 0, words / target).otherwise(0.0))
+    curved = ((1 + slope) - F.sqrt(F.greatest(F.lit(0.0), (1 + slope) * (1 + slope) - 4 * slope * share))) / (2 * slope)
+    return F.when(slope == 0, share).otherwise(curved)
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """docs with each row as often as the mix takes it (0 times: left out), range-sorted by training position; later passes follow at the position plus a pass's share of the curriculum.
+    """docs with each row as often as the mix takes it (0 times: left out), range-sorted by training position.
 
-    Each row has the passes and the position that mix() gives it, also where its id is null or shared. Columns are those of docs.
+    A source's passes follow one another: the k-th pass of a document stands where the source's demand reaches the words of
+    k whole passes and those before the document, so all positions lie in [0, 1] and the curriculum holds for every
+    pass. Each row has the passes and the positions that mix() gives it, also where its id is null or shared. Columns are
+    those of docs.
     """
     whole = docs.select(F.col(id_col), F.col(text_col), F.col(source_col), F.struct("*").alias("mix_doc"))
-    plan = _plan(whole, id_col, text_col, source_col, carry=("mix_doc",), **settings).filter("taken > 0")
-    step = F.least(F.lit(1.0), F.col("source_size") / F.col("target"))
-    every = plan.select(F.col("mix_doc").alias("doc"), "position", step.alias("step"), F.explode(F.sequence(F.lit(0), (F.col("taken") / F.col("size")).cast("int") - 1)).alias("again"))
-    at = F.col("position") + F.col("again") * F.col("step")
+    plan = positions(_plan(whole, id_col, text_col, source_col, carry=("mix_doc",), laid_out=True, **settings))
     spark = docs.sparkSession
     pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return every.select("doc", at.alias("at")).repartitionByRange(pieces, "at").sortWithinPartitions("at").select("doc.*")
+    return plan.select("mix_doc", "at").repartitionByRange(pieces, "at").sortWithinPartitions("at").select("mix_doc.*")
+
+
+def positions(plan: DataFrame) -> DataFrame:
+    """A row for each pass of each document of a plan that is laid out, with its number in `pass` and its training position in `at`."""
+    passes = F.sequence(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("size")) - 1)
+    every = plan.filter("taken > 0").withColumn("pass", F.explode(passes))
+    return every.withColumn("at", place_of(F.col("mix_start") + F.col("pass") * F.col("source_size"), F.col("target"), F.col("mix_slope")))

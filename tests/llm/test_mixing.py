@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from lattica.llm import contract, mixing
@@ -73,3 +76,50 @@ def test_rows_without_an_id_of_their_own(spark, ids):
     taken = {s: sum(len(r["text"].split()) for r in got if r["source"] == s) for s in "abc"}
     for r in plan.values():
         assert abs(taken[r["source"]] - r["target"]) <= 7
+
+
+def used_by(t, slope):
+    """The share of its words that a source has used up to t, by summing its schedule in small steps."""
+    steps = np.linspace(0, t, 2001)
+    weight = (1 + slope) - 2 * slope * steps
+    return float(np.sum((weight[1:] + weight[:-1]) / 2 * np.diff(steps)))
+
+
+def test_every_pass_stands_where_demand_reaches_it(spark):
+    r = random.Random(3)
+    rows = [(k, " ".join(["w"] * r.randrange(1, 9)), "abcd"[min(3, k % 5)]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    laid = mixing.positions(mixing._plan(df, laid_out=True)).collect()
+    assert all(0 <= x["at"] <= 1 for x in laid)
+    by_source = {}
+    for x in laid:
+        by_source.setdefault(x["source"], []).append(x)
+    for own in by_source.values():
+        own.sort(key=lambda x: (x["pass"], x["mix_start"]))
+        slope, target = own[0]["mix_slope"], own[0]["target"]
+        at = [x["at"] for x in own]
+        assert at == sorted(at)  # passes follow one another
+        before = 0
+        for k, x in enumerate(own):
+            if k % 97 == 0:
+                assert abs(used_by(x["at"], slope) - min(1, before / target)) < 1e-6
+            before += x["size"]
+        # what each tenth of training takes is what the schedule says, but for a document at either end
+        for tenth in range(10):
+            want = target * (used_by((tenth + 1) / 10, slope) - used_by(tenth / 10, slope))
+            got = sum(x["size"] for x in own if tenth / 10 <= x["at"] < (tenth + 1) / 10)
+            assert abs(got - want) <= 18, (own[0]["source"], tenth)
+    assert any(own[-1]["pass"] > 0 for own in by_source.values())
+    order = [x["doc_id"] for x in mixing.mixed(df).select("doc_id").collect()]
+    want = [x["doc_id"] for x in sorted(laid, key=lambda x: x["at"])]
+    assert sorted(order) == sorted(want)
+    assert _agree(order, laid)
+
+
+def _agree(order, laid):
+    """Whether documents stand in the order of their positions, those of equal ones in any."""
+    at = sorted(x["at"] for x in laid)
+    left = {}
+    for x in laid:
+        left.setdefault(x["doc_id"], []).append(x["at"])
+    return all(any(abs(p - a) < 1e-12 for p in left[k]) for k, a in zip(order, at))
