@@ -124,7 +124,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         return F.transform(F.sequence(low, high), lambda x: F.struct(p["k"].alias("k"), x.alias("place"), hit["word"].alias("word")))
 
     of_word = lambda h: F.flatten(F.transform(F.filter(postings, lambda p: p["word"] == h["word"]), lambda p: places(h, p)))
-    votes = looked.withColumn("votes", F.array_sort(F.array_distinct(F.flatten(F.transform("hits", of_word)))))
+    # a word may vote for a text's bucket more than once; in order, equal votes are neighbours
+    sorted_votes = looked.withColumn("sorted", F.array_sort(F.flatten(F.transform("hits", of_word))))
+    votes = sorted_votes.withColumn("votes", F.filter("sorted", lambda v, i: (i == 0) | (F.get("sorted", i - 1) != v)))
     same = lambda a, b: F.coalesce((a["k"] == b["k"]) & (a["place"] == b["place"]), F.lit(False))
     # votes stand in order, so a place's first vote and the one `need` - 1 behind it tell whether enough agree
     first = lambda v, i: (i == 0) | ~same(F.get("votes", i - 1), v)
