@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing.
 
 Of every `window - gram + 1` consecutive gram hashes the smallest is kept, in items and documents alike, so two texts
-that share `window` words share a kept hash. A document's kept hashes are tested against a bitmap of fixed size that
+that share `window` words share a kept hash. A document's kept hashes are tested against a bitmap of bounded size that
 holds the items' kept hashes; around each hit the match is extended to the whole windows that may hold it, and these
 are joined with the items' windows on their words. Only windows around hits leave the scan.
 """
@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lattica.llm import staging
-from lattica.llm.bytetext import Kit, Words, alnum_bytes, lowered, slices, string_view, windows
+from lattica.llm.bytetext import Kit, Words, alnum_bytes, lowered, slices, string_view, windows as window_hashes
 
-#: Bits of the two bitmaps of item hashes: 2 MB each, whatever the size of the benchmark.
-BITMAP_BITS = 24
-#: Parts into which the documents' windows of one word sequence are dealt, and copies of each item window.
-SALTS = 16
+#: Least and most bits, as powers of two, of the two bitmaps of item hashes, and bits for each item window: 2 to 32 MB each.
+#: Beyond 16 million windows more of the documents' windows pass the bitmaps and are left to the join.
+BITMAP_BITS, BITMAP_MOST, BITMAP_EACH = 24, 28, 16
+#: Parts into which the documents' windows of one word sequence are dealt, and copies of each item window: SALTS at least, one
+#: for each SALT_BYTES of documents, SALTS_MOST at most.
+SALTS, SALT_BYTES, SALTS_MOST = 16, 1 << 30, 1024
 
 
 def winnowed(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -46,8 +48,8 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, gram
             raw, at = string_view(batch.column(1))
             words, hashed, room = _hashed_words(kit, raw, at)
             small = lowered()[raw]
-            kept = winnowed(windows(hashed, gram, kit), window - gram + 1)
-            grams = windows(hashed, gram, kit)
+            kept = winnowed(window_hashes(hashed, gram, kit), window - gram + 1)
+            grams = window_hashes(hashed, gram, kit)
             out = {"item": [], "size": [], "key": [], "words": [], "print": []}
             ids = batch.column(0).to_pylist()
             for row, (a, n) in enumerate(zip(words.first[:-1].tolist(), words.counts.tolist())):
@@ -55,7 +57,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, gram
                 for s in range(a, a + n - size + 1) if n else ():
                     out["item"].append(ids[row])
                     out["size"].append(size)
-                    out["key"].append(int(windows(hashed[s : s + size], size, kit)[0].astype(np.int64)))
+                    out["key"].append(int(window_hashes(hashed[s : s + size], size, kit)[0].astype(np.int64)))
                     out["words"].append(b" ".join(bytes(small[words.start[w] : words.end[w]]) for w in range(s, s + size)).decode())
                     out["print"].append([int(x) for x in grams[s : s + window - gram + 1][kept[s : s + window - gram + 1]].astype(np.int64)] if size == window else [])
             yield pa.RecordBatch.from_arrays([pa.array(out["item"], pa.string()), pa.array(out["size"], pa.int32()), pa.array(out["key"], pa.int64()), pa.array(out["words"], pa.string()), pa.array(out["print"], pa.list_(pa.int64()))], list(out))
@@ -99,11 +101,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     windows = staging.written(item_windows(items, item_id, item_text, window, gram))
-    full, short = windows.filter(F.col("size") == window), windows.filter(F.col("size") < window)
-    prints = spark.sparkContext.broadcast(bitmap(full.select(F.explode("print").alias("h"))))
-    keys = spark.sparkContext.broadcast(bitmap(windows.select(F.col("key").alias("h"))))
-    sizes = sorted(r[0] for r in short.select("size").distinct().collect())  # at most window - 1
-    bits, span = BITMAP_BITS, window - gram + 1
+    full = windows.filter(F.col("size") == window)
+    by_size = {r["size"]: r["count"] for r in windows.groupBy("size").count().collect()}  # at most `window` sizes
+    bits = min(max((BITMAP_EACH * sum(by_size.values())).bit_length(), BITMAP_BITS), BITMAP_MOST)
+    prints = spark.sparkContext.broadcast(bitmap(full.select(F.explode("print").alias("h")), bits))
+    keys = spark.sparkContext.broadcast(bitmap(windows.select(F.col("key").alias("h")), bits))
+    sizes, span = sorted(n for n in by_size if n < window), window - gram + 1
+    salts = min(staging.pieces_for(docs, SALT_BYTES, SALTS), SALTS_MOST)
 
     def scan(batches):
         kit = Kit()
@@ -116,7 +120,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             hits: list[list] = [[] for _ in range(batch.num_rows)]
             row_of, total = None, len(hashed)
             candidates = []
-            grams = windows(hashed, gram, kit)
+            grams = window_hashes(hashed, gram, kit)
             if total >= window:
                 # winnowing over the joined stream keeps, inside each text, at least what it keeps of the text alone
                 hit = np.flatnonzero(winnowed(grams, span) & has_print(grams))
@@ -130,7 +134,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             for size, starts in candidates:
                 if not len(starts):
                     continue
-                all_keys = windows(hashed, size, kit)
+                all_keys = window_hashes(hashed, size, kit)
                 starts = starts[has_key(all_keys[starts])]
                 if len(starts) and row_of is None:
                     row_of = words.row_of_word()
@@ -145,9 +149,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     schema = T.StructType([f for f in source.schema if f.name != "body"] + [T.StructField("n_words", T.LongType()), T.StructField("hits", hit_type)])
     found = staging.written(source.mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()))
 
-    # a passage that very many documents hold is dealt to SALTS tasks
-    seen = found.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.*", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    listed = windows.select("item", "key", "words").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a passage that very many documents hold is dealt to many tasks
+    seen = found.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.*", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
+    listed = windows.select("item", "key", "words").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     once = listed.select("key", "words", "salt").distinct()
     places = seen.join(once, ["key", "words", "salt"], "left_semi").groupBy("row", "at").agg(F.max(F.col("at") + F.col("size")).alias("end"))
     before = F.max("end").over(Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
