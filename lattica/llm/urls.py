@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lattica.llm import staging
 from lattica.llm.bytetext import mix
 
 #: Listed URLs and what they say: fixed values.
@@ -20,8 +22,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 DEFAULT = "allow"
 #: Blocks of 512 bits: 4 MB in all, whatever the length of the list; bits set for each URL, all in one block.
 BLOCKS, PROBES = 1 << 16, 6
-#: Parts into which the hits of one listed URL are dealt.
-SALTS = 8
+#: Parts into which the hits of one listed URL are dealt: SALTS at least, one for each SALT_BYTES of pages, SALTS_MOST at most.
+SALTS, SALT_BYTES, SALTS_MOST = 8, 1 << 30, 1024
 
 
 def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -101,10 +103,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     lengths = sorted(r[0] for r in listed.select(F.length("rule_path")).distinct().collect())
     held = spark.sparkContext.broadcast(bloom(listed.select("h")))
 
-    @F.pandas_udf("boolean")
-    def possible(hashes: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(held.value, hashes.to_numpy(np.int64)))
+    @F.arrow_udf("array<boolean>")
+    def possible(hashes: pa.Array) -> pa.Array:
+        """Of each url, which of its candidates' hashes the filter may hold."""
+        ends = hashes.offsets.to_numpy()
+        own = hashes.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+        return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(may_hold(held.value, own), pa.bool_()))
 
+    salts = min(staging.pieces_for(pages, SALT_BYTES, SALTS), SALTS_MOST)
     # rows that repeat an id and a url go through once; the tag is never null
     tag = F.concat(F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")), F.lit("\n"), F.coalesce("url", F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).withColumn("tag", tag)
@@ -113,18 +119,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     prefixes = F.array_compact(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths))) if lengths else F.array().cast("array<string>")
-    tried = (
-        parsed.filter(F.col("url").contains("://"))
-        .select("tag", F.explode(suffixes).alias("rule_host"), "path")
-        .select("tag", "rule_host", F.explode(prefixes).alias("rule_path"))
-        .withColumn("h", F.xxhash64(F.concat("rule_host", "rule_path")))
-    )
-    hits = tried.filter(possible("h")).drop("h")
-    # the hits of one listed URL may be very many: they are dealt to SALTS tasks
-    salted = listed.select("rule_host", "rule_path", "rule", "verdict").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # all candidates of a url stay in one row until the filter has dropped those that aren't listed
+    candidates = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("rule_host"), p.alias("rule_path")))))
+    tried = parsed.filter(F.col("url").contains("://")).select("tag", candidates.alias("candidates"))
+    tried = tried.withColumn("ok", possible(F.transform("candidates", lambda c: F.xxhash64(F.concat(c["rule_host"], c["rule_path"])))))
+    held_ones = F.filter("candidates", lambda c, i: F.get("ok", i))
+    hits = tried.select("tag", F.explode(held_ones).alias("c")).select("tag", "c.*")
+    # the hits of one listed URL may be very many: they are dealt to many tasks
+    salted = listed.select("rule_host", "rule_path", "rule", "verdict").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     order = F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("m"), F.transform(F.split("rule", ""), lambda c: -F.ascii(c)).alias("o"), "rule", "verdict")
     best = (
-        hits.withColumn("salt", F.pmod(F.xxhash64("tag"), F.lit(SALTS)).cast("int"))
+        hits.withColumn("salt", F.pmod(F.xxhash64("tag"), F.lit(salts)).cast("int"))
         .join(salted, ["rule_host", "rule_path", "salt"])
         .groupBy("tag")
         .agg(F.max(order).alias("best"))
