@@ -22,6 +22,8 @@ from lattica.llm.bytetext import slices, string_view
 TILE = 4096
 #: Columns of the image that holds a payload.
 PAYLOAD_WIDTH = 64
+#: Samples of an integral image.
+BAND = 1 << 20
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
@@ -66,55 +68,91 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     wide = np.dtype(">u2" if most > 255 else np.uint8)
     if len(data) - at < count * wide.itemsize:
         raise ValueError("samples are missing")
-    return np.frombuffer(data, wide, count, at).astype(wide.newbyteorder("=")).reshape(shape)
+    return np.frombuffer(data, wide, count, at).astype(wide.newbyteorder("="), copy=False).reshape(shape)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """An uncompressed BMP of 8 (with palette), 24 or 32 bits as an array of rows, columns and 3 channels."""
+    """An uncompressed BMP of 8 (with palette), 24 or 32 bits as an array of rows, columns and 3 channels; of 32 bits also with channel masks of any place and up to 8 bits or more, which are scaled to 8."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     offset, header, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if packing not in (0, 3) or bits not in (8, 24, 32) or width <= 0 or height == 0:
+    if (packing, bits) not in ((0, 8), (0, 24), (0, 32), (3, 32)) or width <= 0 or height == 0:
         raise ValueError("a BMP of a kind that isn't supported")
     line = (width * bits + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, line * abs(height), offset).reshape(abs(height), line)[:, : width * bits // 8]
     raw = raw[::-1] if height > 0 else raw
     if bits == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
+        if used > 256:
+            raise ValueError("a palette of more than 256 colours")
         palette = np.zeros((256, 4), np.uint8)
         palette[:used] = np.frombuffer(data, np.uint8, used * 4, 14 + header).reshape(used, 4)
         return np.ascontiguousarray(palette[raw][:, :, 2::-1])
+    if packing == 3:
+        # the masks of red, green and blue stand behind the first 40 bytes of the header, whatever its length
+        pixels = np.ascontiguousarray(raw).view("<u4")
+        return np.stack([_channel(pixels, mask) for mask in struct.unpack_from("<III", data, 54)], axis=2)
     return np.ascontiguousarray(raw.reshape(abs(height), width, bits // 8)[:, :, 2::-1])
 
 
+def _channel(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The bits under a mask, scaled to 0 to 255."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    if most & (most + 1):
+        raise ValueError("a channel mask with a gap")
+    return (((pixels.astype(np.uint64) & np.uint64(mask)) >> np.uint64(low)) * np.uint64(255) // np.uint64(most)).astype(np.uint8)
+
+
 def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means of the areas that the new pixels cover, by an integral image: any size to any size, one pass over the samples."""
-    grey = image.mean(axis=2) if image.ndim == 3 else image.astype(np.float64)
-    table = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
-    np.cumsum(grey, axis=0, out=table[1:, 1:])
-    np.cumsum(table[1:, 1:], axis=1, out=table[1:, 1:])
-
-    def lines(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), len(x) - 2)
-        part = (edges - low).reshape(-1, *[1] * (x.ndim - 1))
-        return x[low] * (1 - part) + x[low + 1] * part
-
-    rows = np.linspace(0, grey.shape[0], height + 1)
-    cols = np.linspace(0, grey.shape[1], width + 1)
-    at = lines(lines(table, rows).T, cols).T
+    """Means of the areas that the new pixels cover: any size to any size, one pass over the samples."""
+    return _resized([image], height, width)
+
+
+def _resized(parts: list[np.ndarray], height: int, width: int) -> np.ndarray:
+    """area_resize() of the image that the parts make, one below the other. Integral images are made of BAND samples at a time and added up at the new pixels' edges, so memory doesn't grow with the image."""
+    tall, wide = sum(map(len, parts)), parts[0].shape[1]
+    rows, cols = np.linspace(0, tall, height + 1), np.linspace(0, wide, width + 1)
+    at, total, first = np.zeros((height + 1, width + 1)), np.zeros(width + 1), 0
+    step = max(1, BAND // max(1, wide))
+    for part in parts:
+        for k in range(0, len(part), step):
+            band = part[k : k + step]
+            grey = band.mean(axis=2) if band.ndim == 3 else band
+            table = np.zeros((len(band) + 1, wide + 1))
+            np.cumsum(grey, axis=0, out=table[1:, 1:])
+            np.cumsum(table[1:, 1:], axis=1, out=table[1:, 1:])
+            across = _lines(table.T, cols).T
+            own = np.flatnonzero((rows > first) & (rows <= first + len(band)))
+            at[own] = total + _lines(across, rows[own] - first)
+            total, first = total + across[-1], first + len(band)
     area = np.outer(np.diff(rows), np.diff(cols))
     return np.diff(np.diff(at, axis=0), axis=1) / area
 
 
+def _lines(table: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Lines of an integral image at edges that may lie between two lines."""
+    low = np.minimum(edges.astype(np.int64), len(table) - 2)
+    part = (edges - low).reshape(-1, *[1] * (table.ndim - 1))
+    return table[low] * (1 - part) + table[low + 1] * part
+
+
 def difference_hash(image: np.ndarray) -> str:
     """64 bits in hex: whether each of 8 by 8 areas is darker than the one to its right. An image without pixels: zeros."""
-    if not image.size:
+    return _hashed([image])
+
+
+def _hashed(parts: list[np.ndarray]) -> str:
+    """difference_hash() of the image that the parts make."""
+    if not sum(p.size for p in parts):
         return "0" * 16
-    small = np.round(area_resize(image, 8, 9), 6)
+    small = np.round(_resized(parts, 8, 9), 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
@@ -125,12 +163,12 @@ def npy(array: np.ndarray) -> bytes:
     return b"\x93NUMPY\x01\x00" + struct.pack("<H", len(head)) + head.encode("latin1") + np.ascontiguousarray(array).tobytes()
 
 
-def from_npy(data: bytes) -> np.ndarray:
+def from_npy(data: bytes | memoryview) -> np.ndarray:
     """The array of an NPY file's bytes."""
-    if data[:8] != b"\x93NUMPY\x01\x00":
+    if bytes(data[:8]) != b"\x93NUMPY\x01\x00":
         raise ValueError("not an NPY file of version 1.0")
     size = struct.unpack_from("<H", data, 8)[0]
-    head = ast.literal_eval(data[10 : 10 + size].decode("latin1"))
+    head = ast.literal_eval(bytes(data[10 : 10 + size]).decode("latin1"))
     return np.frombuffer(data, np.dtype(head["descr"]), offset=10 + size).reshape(head["shape"])
 
 
@@ -219,15 +257,19 @@ def features(spark, path: str) -> DataFrame:
         for batch in batches:
             told = {n: [] for n in names}
             for stored, own in zip(batch.column(2).to_pylist(), batch.column(3)):
-                files = [x.as_buffer().to_pybytes() for x in own.values]
-                image = np.concatenate([from_npy(x) for x in files])
-                payload = image.tobytes()
-                if difference_hash(image) != stored:
+                # tiles are views of the batch's memory: nothing of the image's size is copied
+                payload, media, size, read, parts, tail = hashlib.sha256(), hashlib.sha256(), 0, 0, [], b""
+                for x in own.values:
+                    file = memoryview(x.as_buffer())
+                    media.update(file)
+                    size += len(file)
+                    parts.append(from_npy(file))
+                    payload.update(memoryview(parts[-1]).cast("B"))
+                    read += parts[-1].nbytes
+                    tail = (tail + parts[-1].reshape(-1)[-64:].tobytes())[-64:]
+                if _hashed(parts) != stored:
                     raise ValueError("the samples read don't have the stored hash")
-                media = hashlib.sha256()
-                for x in files:
-                    media.update(x)
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), sum(map(len, files)), media.hexdigest(), stored)
+                row = (read, payload.hexdigest(), zlib.crc32(tail), size, media.hexdigest(), stored)
                 for n, v in zip(names, row):
                     told[n].append(v)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -33,6 +33,72 @@ def test_bmp():
     assert (media.decode(head + rows) == colour).all()
 
 
+def masked_bmp(pixels, masks, header=40):
+    body = np.ascontiguousarray(pixels[::-1]).astype("<u4").tobytes()
+    tall, wide = pixels.shape
+    offset = 14 + max(header, 52)
+    head = b"BM" + struct.pack("<IHHI", offset + len(body), 0, 0, offset) + struct.pack("<IiiHHIIiiII", header, wide, tall, 1, 32, 3, len(body), 0, 0, 0, 0)
+    return head + struct.pack("<III", *masks) + bytes(offset - 66) + body
+
+
+@pytest.mark.parametrize("header", [40, 108])
+def test_bmp_masks(header):
+    pixels = np.array([[10 | 20 << 8 | 30 << 16, 0xFFFFFFFF]], np.uint32)
+    assert media.decode(masked_bmp(pixels, (0xFF, 0xFF00, 0xFF0000), header)).tolist() == [[[10, 20, 30], [255, 255, 255]]]
+    assert media.decode(masked_bmp(pixels, (0xFF0000, 0xFF00, 0xFF), header)).tolist() == [[[30, 20, 10], [255, 255, 255]]]
+    assert media.decode(masked_bmp(np.array([[31 << 11 | 5 << 5 | 4]], np.uint32), (31 << 11, 63 << 5, 31), header)).tolist() == [[[255, 20, 32]]]
+    with pytest.raises(ValueError, match="gap"):
+        media.decode(masked_bmp(pixels, (0x0F0F, 0, 0), header))
+
+
+def test_images_of_all_kinds_in_a_store(spark, tmp_path):
+    r = np.random.default_rng(3)
+    colour = r.integers(0, 256, (9000, 5, 3)).astype(np.uint8)  # three tiles
+    bmp = masked_bmp(colour[:7, :, 0].astype(np.uint32) << 16 | colour[:7, :, 1].astype(np.uint32) << 8 | colour[:7, :, 2], (0xFF0000, 0xFF00, 0xFF))
+    deep = r.integers(0, 65536, (40, 30)).astype(np.uint16)
+    rows = [(1, b"P6\n5 9000\n255\n" + colour.tobytes()), (2, bmp), (3, b"P5\n30 40\n65535\n" + deep.astype(">u2").tobytes()), (3, b"BM" + bytes(60))]
+    media.store(spark.createDataFrame(rows, "k long, image binary"), f"file://{tmp_path}/i", "k", "image")
+    got = sorted(spark.read.parquet(f"file://{tmp_path}/i").collect(), key=lambda x: (x["id"], x["error"] or ""))
+    for row, want in zip(got, (colour, colour[:7], deep)):
+        tiles = [np.load(io.BytesIO(bytes(t))) for t in row["tiles"]]
+        assert (np.concatenate(tiles) == want).all() and tiles[0].dtype == want.dtype and row["hash"] == media.difference_hash(want)
+    assert len(got[0]["tiles"]) == 3 and got[3]["error"]
+
+
+def brute_hash(image):
+    """The difference hash by exact fractions of the areas."""
+    grey = image.mean(axis=2) if image.ndim == 3 else image.astype(float)
+    tall, wide = grey.shape
+    share = lambda n, k, i, m: max(0.0, min(i + 1, (k + 1) * m / n) - max(i, k * m / n))
+    down = np.array([[share(8, k, i, tall) for i in range(tall)] for k in range(8)])
+    over = np.array([[share(9, k, i, wide) for i in range(wide)] for k in range(9)])
+    small = np.round(down @ grey @ over.T / (down.sum(axis=1)[:, None] * over.sum(axis=1)[None, :]), 6)
+    return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+
+
+@pytest.mark.parametrize("band", [1 << 20, 64, 200])
+def test_feature_against_exact_areas(monkeypatch, band):
+    monkeypatch.setattr(media, "BAND", band)
+    r = np.random.default_rng(band)
+    for shape in ((1, 64), (3, 64), (100, 64), (17, 5), (8, 9), (33, 10, 3)):
+        image = r.integers(0, 256, shape).astype(np.uint8)
+        assert media.difference_hash(image) == brute_hash(image), shape
+        cut = len(image) // 3
+        assert media._hashed([x for x in (image[:cut], image[cut:]) if len(x)]) == brute_hash(image)
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    text = np.random.default_rng(4).integers(32, 127, 40 << 20).astype(np.uint8).tobytes()
+    tracemalloc.start()
+    error, told, tiles = media._tiled(media.payload_image(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert error is None and len(told) == 16 and sum(map(len, tiles)) >= len(text)
+    assert peak < 3.5 * len(text)  # the payload, its tiles and one band
+
+
 def test_area_resize_is_the_mean_of_areas():
     image = np.random.default_rng(2).integers(0, 256, (16, 27)).astype(np.uint8)
     want = image.reshape(8, 2, 9, 3).mean(axis=(1, 3))
