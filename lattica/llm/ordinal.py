@@ -104,7 +104,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     """The model of at most `sample` rated texts.
 
     ratings has a row (id, grade) for a text, grade from 0 to grades - 1; rows with a null id or grade are left out, of
-    several for an id the lowest counts. Without any rated text the model gives every text the highest grade.
+    several for an id the lowest counts. Of several texts of an id one counts, chosen by their features alone, so the model
+    doesn't depend on the order of rows. Without any rated text the model gives every text the highest grade. One task
+    fits; a text gives it at most 2**BITS features, so its memory is bounded by `sample`.
     """
     chosen = (
         ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade"))
@@ -130,7 +132,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
             )
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
+        pdf = pdf.sort_values(["id", "cols", "vals"]).drop_duplicates("id")
         cols = [np.frombuffer(x, "<i4") for x in pdf["cols"]]
         rows = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
         vals = np.concatenate([np.frombuffer(x, "<f4") for x in pdf["vals"]])
