@@ -29,9 +29,9 @@ from lattica.llm.bytetext import Kit, Words, mix, new_seed, nonspace_bytes, rele
 #: Windows in a block of documents within which repeats are found before anything is shuffled.
 BLOCK_WORDS = 1_000_000
 #: Input bytes for each hash range, and for each shelf of ids; their numbers grow with the input.
-RANGE_BYTES, SHELF_BYTES = 16 << 20, 32 << 20
+RANGE_BYTES, SHELF_BYTES = 8 << 20, 32 << 20
 #: Most rows that a block sends.
-FAN = 2048
+FAN = 4096
 #: Starts of a row of a block's own repeats.
 REPEATS = 1 << 16
 #: Stands for a null id; it comes before every other.
