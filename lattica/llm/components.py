@@ -11,7 +11,7 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, least): for each node of the undirected edges (a, b), the least node that it reaches.
 
     Each round points the larger neighbours of a node at its least one, then the smaller ones; neither step collects a
-    node's neighbours, so a node may have any number of them. Rounds are written to the shared folder. Edges with a null
+    node's neighbours, so a node may have any number of them. Rounds are written to the shared folder, the last one stays there. Edges with a null
     end and loops are left out; a loop's node isn't returned unless another edge has it.
     """
     spark = edges.sparkSession
@@ -21,12 +21,14 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join's tasks for a node with very many neighbours can be split
-        least = staging.written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        pointed = staging.written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = both.filter("v > u").join(pointed, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = staging.written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         next_mark = _mark(following)
+        staging.drop(pointed)
+        staging.drop(now)
         now, mark, same = following, next_mark, next_mark == mark
         if same:
             break

@@ -266,6 +266,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the parts, which pays where parts are small, that is at low similarities.
     """
     assert 3 * num >= 2 * den, "bands are half as large again: two similar sets must lie in one or in neighbours"
+    with staging.scope(docs.sparkSession):
+        return _near_groups(docs, id_col, text_col, words, num, den, common)
+
+
+def _near_groups(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, common: int | None) -> DataFrame:
+    """What near_groups() returns; all but two of the tables that it writes are read only while it runs."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(source.dtypes)["id"]
@@ -313,7 +319,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts_path = staging.shared_folder(spark)
     staging.write(source.mapInArrow(scan, f"id {kind}, n long, k1 long, k2 long, short boolean, bands array<struct<band:int, keys:array<long>, bits:binary>>"), parts_path)
     scanned = spark.read.parquet(parts_path)
-    info = staging.written(scanned.select("id", "n", "k1", "k2", "short"))
+    info = staging.written(scanned.select("id", "n", "k1", "k2", "short"), keep=True)
 
     # sets of a band that agree in a part: each points at the least of them
     node = F.xxhash64("k1", "band").alias("node")
@@ -376,7 +382,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extra = same.join(several.select("id", "a"), "id").select(F.col("a"), F.col("head").alias("b"))
     label = components.connected(inner.unionByName(extra), "a", "b")
 
-    heads = staging.written(classes.join(label, classes["id"] == label["node"], "left").select("k1", "k2", "n", F.coalesce("least", "id").alias("component")))
+    heads = staging.written(classes.join(label, classes["id"] == label["node"], "left").select("k1", "k2", "n", F.coalesce("least", "id").alias("component")), keep=True)
     out = info.join(heads, ["k1", "k2", "n"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast(kind)).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component"))

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.sources import folders
+
+#: Folders of the scopes that are open, the innermost last.
+_SCOPES: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; where that is unset (tests, one machine), under a temporary one that is set there."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder name under spark.checkpoint.dir; see folders.shared()."""
+    return folders.shared(spark)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Tables that written() writes inside are removed at the end, but those to be kept, which go to the scope outside."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop_folder(spark, path)
 
 
 #: Lets Spark delete a plan's shuffle files when its execution is over, not when the driver next collects garbage.
@@ -36,14 +47,23 @@ def write(df: DataFrame, path: str, codec: str = "zstd", partition_by: str | Non
             spark.conf.set(TIDY, before)
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a table written in the shared folder and read back: later steps start from it, and a lost executor loses nothing."""
+def written(df: DataFrame, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """df as a table written in the shared folder and read back: later steps start from it, and a lost executor loses nothing. keep: it outlives the innermost scope."""
     spark = df.sparkSession
     path = shared_folder(spark)
+    own = _SCOPES[: len(_SCOPES) - keep]
+    if own:
+        own[-1].append(path)
     write(df, path, codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Remove a table that written() has written, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        drop_folder(table.sparkSession, path)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared store."""
     jvm = spark._jvm

@@ -285,6 +285,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     order = [F.col("doc").asc_nulls_first(), F.col("body")]
     parts = recipes.repartitionByRange(pieces, *order).sortWithinPartitions(*order)
     staging.write(parts.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()).withColumnRenamed("body", "names"), f"{path}/recipes")
+    staging.drop_folder(spark, f"{raw}/kind=recipe")
 
     staging.write(_roots(spark, path), f"{path}/manifest")
 
