@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,11 +11,13 @@ from pyspark.sql import SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir. Where that is unset, a temporary folder serves a session on one machine; on a cluster it raises, as executors wouldn't see it."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset, a temporary folder, which goes with the process, serves a session on one machine; on a cluster it raises, as executors wouldn't see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lattica-")
+        own = tempfile.mkdtemp(prefix="lattica-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
