@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("profiles", "texts", "models", "joins", "encodings", "exports")
+MODULES = ("profiles", "texts", "models", "joins", "encodings", "exports", "packages")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

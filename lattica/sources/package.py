@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattica.operators import catalog
-from lattica.sources import bim, store, tmdl
+from lattica.sources import bim, folders, store, tmdl
 
 SCHEMA = "model_id string, kind string, path string, text string"
 DOCUMENT_ENDS = (".tmdl", ".tmd")
@@ -71,20 +71,33 @@ def documents_of(name: str, data: bytes) -> list[tuple[str, str, str]]:
         return [("tmdl", m, package.read(m).decode("utf-8", "replace")) for m in members if m.lower().endswith(DOCUMENT_ENDS)]
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """Documents of (path, content) files."""
+def documents(files: DataFrame, strict: bool = True) -> DataFrame:
+    """Documents of (path, content) files. A file that is none raises; unless strict, it gives a document of the kind `broken` whose text is the reason."""
+
+    def read(path: str, content: bytes) -> list[tuple]:
+        try:
+            return [(path, *d) for d in documents_of(path, content)]
+        except Exception as e:  # whatever a damaged package, archive or database raises
+            if strict:
+                raise
+            return [(path, "broken", path, f"{type(e).__name__}: {e}")]
 
     def run(batches):
         for pdf in batches:
-            rows = [(p, *d) for p, c in zip(pdf["path"], pdf["content"]) for d in documents_of(p, bytes(c))]
+            rows = [d for p, c in zip(pdf["path"], pdf["content"]) for d in read(p, bytes(c))]
             yield pd.DataFrame(rows, columns=["model_id", "kind", "path", "text"])
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def read_models(spark: SparkSession, paths) -> catalog.Model:
-    """One catalog of the models of all files; a file that is none raises."""
-    told = documents(spark.read.format("binaryFile").load(paths)).persist()
+def read_models(spark: SparkSession, paths, strict: bool = True) -> catalog.Model:
+    """One catalog of the models of all files; a file that is none raises, or is left out unless strict (documents() names it)."""
+    return model_of(documents(spark.read.format("binaryFile").load(paths), strict))
+
+
+def model_of(told: DataFrame) -> catalog.Model:
+    """One catalog of the models of documents of all kinds. The documents are written once, as nine tables are made of them."""
+    told = folders.written(told)
     parts = []
     for kind in ("bim", "pbit"):
         parts.append(bim.from_json(told.filter(F.col("kind") == kind), kind))

@@ -4,7 +4,8 @@
     spark.read.format("tabular_store").option("path", file).option("table", "Sales").load()
 
 The driver reads the index and the metadata; each task decodes one partition of the table, column by column, and yields
-Arrow batches. Pages, dictionaries and segments of other columns are never touched.
+Arrow batches. Pages, dictionaries and segments of other columns are never touched: of an archive that lies in a file as it
+is, tasks read only the byte ranges of their own columns; one inside a package or a compressed model is unpacked first.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lattica.operators import catalog
@@ -34,11 +34,26 @@ ARROW_TYPES = {2: pa.string(), 6: pa.int64(), 8: pa.float64(), 9: pa.timestamp("
 EPOCH = datetime.datetime(1899, 12, 30)
 
 
+class Ranged:
+    """A file of any file system as far as it is asked for: slices read their range."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        self.file = system.open_input_file(name)
+
+    def __getitem__(self, own: slice) -> bytes:
+        first = own.start or 0
+        self.file.seek(first)
+        return self.file.read(max(0, own.stop - first))
+
+
 @dataclass
 class Archive:
     """Files of an archive by name; compressed ones are unpacked on demand."""
 
-    data: bytes
+    data: bytes | Ranged
     files: dict[str, tuple[int, int]]
     trimmed: bool
     packed: bool
@@ -54,7 +69,7 @@ def _tag(text: str, name: str) -> str | None:
     return m[1] if m else None
 
 
-def open_archive(data: bytes) -> Archive:
+def open_archive(data: bytes | Ranged) -> Archive:
     """The index of an archive: a header at byte 72, the virtual directory it points to, and the log that names the files."""
     header = data[72:4096].decode("utf-16-le", "replace").split("\0")[0]
     at, size = int(_tag(header, "m_cbOffsetHeader") or 0), int(_tag(header, "DataSize") or 0)
@@ -78,15 +93,17 @@ def open_archive(data: bytes) -> Archive:
     return Archive(data, files, trimmed, packed)
 
 
-def archive_of(data: bytes) -> Archive:
-    """The archive in the bytes of a file: a package, a compressed model, or an archive as it is."""
+def archive_of(data: bytes | Ranged) -> Archive:
+    """The archive in a file: a package, a compressed model, or an archive as it is."""
     if data[:2] == ZIP_MAGIC:
         import io
 
-        with zipfile.ZipFile(io.BytesIO(data)) as package:
+        with zipfile.ZipFile(data.file if isinstance(data, Ranged) else io.BytesIO(data)) as package:
             data = package.read("DataModel")
     head = data[: codecs.SIGNATURE].decode("utf-16-le", "replace").lower()
-    return open_archive(codecs.decompress_model(data) if "xpress9" in head else data)
+    if "xpress9" not in head:
+        return open_archive(data)
+    return open_archive(codecs.decompress_model(data.file.read() if isinstance(data, Ranged) else data))
 
 
 def metadata(archive: Archive) -> sqlite3.Connection:
@@ -160,13 +177,23 @@ def convert(values: list, kind: int) -> pa.Array:
 
 def read_column(archive: Archive, column: StoredColumn, part: int) -> pa.Array:
     """A column's values in one partition, all its segments; ids that the dictionary doesn't have are null."""
+    return decode_column(column, *stored_bytes(archive, column, part))
+
+
+def stored_bytes(archive: Archive, column: StoredColumn, part: int) -> tuple[bytes, bytes, bytes | None]:
+    """A column's files of one partition: segments, what is said of them, and the dictionary if it has one."""
+    if column.words and column.words not in archive.files:
+        raise ValueError(f"{column.name}: the archive lacks the dictionary {column.words}")
     name = column.files[part]
-    info = codecs.segment_info(archive.read(name + "meta"))
-    ids = np.concatenate([codecs.segment_ids(e, w, info) for e, w in codecs.segments(archive.read(name))] or [np.zeros(0, np.int64)])
-    if column.words:
-        if column.words not in archive.files:
-            raise ValueError(f"{column.name}: the archive lacks the dictionary {column.words}")
-        values = codecs.dictionary(archive.read(column.words))
+    return archive.read(name), archive.read(name + "meta"), archive.read(column.words) if column.words else None
+
+
+def decode_column(column: StoredColumn, segments: bytes, meta: bytes, words: bytes | None) -> pa.Array:
+    """The values in a column's files."""
+    info = codecs.segment_info(meta)
+    ids = np.concatenate([codecs.segment_ids(e, w, info) for e, w in codecs.segments(segments)] or [np.zeros(0, np.int64)])
+    if words is not None:
+        values = codecs.dictionary(words)
         index = ids - info.least_id
         known = (index >= 0) & (index < len(values))
         return convert([values[i] if k else None for i, k in zip(index.tolist(), known.tolist())], column.kind)
@@ -177,9 +204,12 @@ def read_column(archive: Archive, column: StoredColumn, part: int) -> pa.Array:
 
 def read_part(archive: Archive, columns: list[StoredColumn], part: int) -> pa.Table:
     """Columns of a partition side by side; shorter ones are filled up with nulls."""
-    arrays = [read_column(archive, c, part) if part < len(c.files) else convert([], c.kind) for c in columns]
+    return side_by_side([c.name for c in columns], [read_column(archive, c, part) if part < len(c.files) else convert([], c.kind) for c in columns])
+
+
+def side_by_side(names: list[str], arrays: list[pa.Array]) -> pa.Table:
     rows = max(map(len, arrays), default=0)
-    return pa.table([pa.concat_arrays([a, pa.nulls(rows - len(a), a.type)]) for a in arrays], names=[c.name for c in columns])
+    return pa.table([pa.concat_arrays([a, pa.nulls(rows - len(a), a.type)]) for a in arrays], names=names)
 
 
 class Part(InputPartition):
@@ -188,83 +218,95 @@ class Part(InputPartition):
         self.number = number
 
 
-def _read(path: str) -> bytes:
-    """The bytes of a file at any path that Spark reads."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        with open(path.removeprefix("file://"), "rb") as f:
-            return f.read()
-    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
-
-
 class StoreReader(DataSourceReader):
     def __init__(self, options):
-        self.options, self.path, self.table = options, options["path"], options.get("table")
+        self.path, self.table = options["path"], options.get("table")
 
-    def _columns(self, archive: Archive) -> list[StoredColumn]:
-        found = stored_tables(metadata(archive))
-        if self.table not in found:
-            raise ValueError(f"no table {self.table!r}; there are {sorted(found)}")
-        return found[self.table]
+    def _opened(self) -> tuple[Archive, list[StoredColumn]]:
+        archive = archive_of(Ranged(self.path))
+        return archive, columns_of(archive, self.table)
 
     def partitions(self):
-        with open(self.path.removeprefix("file://"), "rb") as f:
-            columns = self._columns(archive_of(f.read()))
-        return [Part(k) for k in range(max(len(c.files) for c in columns))]
+        return [Part(k) for k in range(max(len(c.files) for c in self._opened()[1]))]
 
     def read(self, partition: Part):
-        with open(self.path.removeprefix("file://"), "rb") as f:
-            archive = archive_of(f.read())
-        yield from read_part(archive, self._columns(archive), partition.number).to_batches(max_chunksize=10_000)
+        yield from read_part(*self._opened(), partition.number).to_batches(max_chunksize=10_000)
+
+
+def columns_of(archive: Archive, table: str | None) -> list[StoredColumn]:
+    found = stored_tables(metadata(archive))
+    if table not in found:
+        raise ValueError(f"no table {table!r}; there are {sorted(found)}")
+    return found[table]
+
+
+def _schema(columns) -> str:
+    return ", ".join(f"`{name.replace('`', '``')}` {SPARK_TYPES.get(kind, 'string')}" for name, kind in columns)
 
 
 class StoreSource(DataSource):
-    """One table of one store file; options path, on a file system that all executors mount, and table."""
+    """One table of one store file; options path, a local one or a URI of a file system that Arrow opens, and table."""
 
     @classmethod
     def name(cls) -> str:
         return "tabular_store"
 
     def schema(self) -> str:
-        with open(self.options["path"].removeprefix("file://"), "rb") as f:
-            found = stored_tables(metadata(archive_of(f.read())))
-        table = self.options.get("table")
-        if table not in found:
-            raise ValueError(f"no table {table!r}; there are {sorted(found)}")
-        return ", ".join(f"`{c.name.replace('`', '``')}` {SPARK_TYPES.get(c.kind, 'string')}" for c in found[table])
+        return _schema((c.name, c.kind) for c in columns_of(archive_of(Ranged(self.options["path"])), self.options.get("table")))
 
     def reader(self, schema) -> StoreReader:
         return StoreReader(self.options)
 
 
 def read_table(spark: SparkSession, path: str, table: str):
-    """A table of a store at any path that Spark reads: the file's bytes go to the tasks, one for each partition of the table."""
+    """A table of a store at any path that Spark reads. One task reads the file and sends each partition of the table only the bytes of its own columns."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def plan(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                columns = stored_tables(metadata(archive_of(bytes(content)))).get(table, [])
-                yield pd.DataFrame({"name": [c.name for c in columns], "kind": [c.kind for c in columns], "parts": [len(c.files) for c in columns]})
+        for batch in batches:
+            for content in batch.column(0):
+                columns = columns_of(archive_of(content.as_py()), table)
+                yield pa.RecordBatch.from_pylist([{"name": c.name, "kind": c.kind, "parts": len(c.files)} for c in columns], pa.schema([("name", pa.string()), ("kind", pa.int32()), ("parts", pa.int32())]))
 
-    columns = files.mapInPandas(plan, "name string, kind int, parts int").collect()
+    columns = files.mapInArrow(plan, "name string, kind int, parts int").collect()
     if not columns:
-        raise ValueError(f"no table {table!r}")
-    schema = ", ".join(f"`{c['name'].replace('`', '``')}` {SPARK_TYPES.get(c['kind'], 'string')}" for c in columns)
+        raise ValueError(f"no file at {path}")
+    bytes_of = pa.schema([("part", pa.int32()), ("segments", pa.list_(pa.binary())), ("meta", pa.list_(pa.binary())), ("words", pa.list_(pa.binary())), ("numbers", pa.list_(pa.float64())), ("by_value", pa.list_(pa.bool_()))])
 
-    def decode(batches):
+    def cut(batches):
         for batch in batches:
-            for content, part in zip(batch.column(0), batch.column(1).to_pylist()):
+            for content in batch.column(0):
                 archive = archive_of(content.as_py())
-                yield from read_part(archive, stored_tables(metadata(archive))[table], part).to_batches(max_chunksize=10_000)
+                own = columns_of(archive, table)
+                for part in range(max(len(c.files) for c in own)):
+                    read = [stored_bytes(archive, c, part) if part < len(c.files) else (None, None, None) for c in own]
+                    segments, meta, words = zip(*read)
+                    numbers = [x for c in own for x in (float(c.base), float(c.magnitude))]
+                    yield pa.RecordBatch.from_pylist([{"part": part, "segments": segments, "meta": meta, "words": words, "numbers": numbers, "by_value": [c.by_value for c in own]}], bytes_of)
 
-    parts = max(c["parts"] for c in columns)
-    return files.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, "part").mapInArrow(decode, schema)
+    def decode(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                arrays = []
+                for k, c in enumerate(columns):
+                    own = StoredColumn(c["name"], c["kind"], [], None, int(row["numbers"][2 * k]), row["numbers"][2 * k + 1], row["by_value"][k])
+                    arrays.append(convert([], c["kind"]) if row["segments"][k] is None else decode_column(own, row["segments"][k], row["meta"][k], row["words"][k]))
+                yield from side_by_side([c["name"] for c in columns], arrays).to_batches(max_chunksize=10_000)
+
+    parts = files.mapInArrow(cut, "part int, segments array<binary>, meta array<binary>, words array<binary>, numbers array<double>, by_value array<boolean>")
+    columns = [c.asDict() for c in columns]
+    return parts.repartition(max(c["parts"] for c in columns), "part").mapInArrow(decode, _schema((c["name"], c["kind"]) for c in columns))
 
 
-def table_names(path: str) -> list[str]:
-    """Names of a store's tables in ascending order."""
-    return sorted(stored_tables(metadata(archive_of(_read(path)))))
+def table_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of a store's tables in ascending order, at any path that Spark reads."""
+
+    def names(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(list(stored_tables(metadata(archive_of(content.as_py())))), pa.string())], ["name"])
+
+    return sorted(r["name"] for r in spark.read.format("binaryFile").load(path).select("content").mapInArrow(names, "name string").collect())
 
 
 def model_rows(db: sqlite3.Connection, model_id: str) -> dict[str, list[tuple]]:

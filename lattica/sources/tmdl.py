@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattica.functions import text as tx
 from lattica.operators.catalog import SCHEMAS, Model
+from lattica.sources import folders
 
 #: Words that begin an object: fixed values.
 OBJECTS = ("table", "column", "measure", "partition", "hierarchy", "level", "calculationGroup", "calculationItem", "relationship", "role", "tablePermission", "model", "database", "expression", "annotation", "kpi", "queryGroup", "ref", "cultureInfo", "perspective", "extendedProperty", "variation", "member", "changedProperty", "linguisticMetadata", "formatStringDefinition", "detailRowsDefinition")
@@ -185,8 +186,8 @@ def _flag(name: str):
 
 def from_documents(documents: DataFrame) -> Model:
     """The model's tables of (model_id, path, text) documents. Tables and roles come in order of their documents' paths."""
-    # the parsed objects are read nine times; they are small next to what they describe
-    found = parse(documents).persist()
+    # the parsed objects are read nine times
+    found = folders.written(parse(documents))
     path = F.lower("path")
     of = lambda kind: found.filter(F.col("kind") == kind)
     own = ["model_id", "path", "id"]

@@ -213,6 +213,41 @@ def test_blocks_with_references():
     assert codecs.xpress8_chunks(struct.pack("<II", 9, len(body)) + body + chunked(b"zz")) == b"abcabcabczz"
 
 
+def test_blocks_with_long_matches():
+    for length, tail in ((9, [6]), (10, [7, 0]), (200, [7, 190]), (264, [7, 254]), (5000, [7, 255, 5000 & 255, 5000 >> 8])):
+        body = bytes([0b00000010]) + b"a" + bytes([1, tail[0], *tail[1:]])
+        assert codecs.xpress8_block(body, length + 1) == b"a" * (length + 1)
+    far = bytes(range(256)) * 4
+    literals = b"".join(b"\0" + far[k : k + 8] for k in range(0, 1024, 8))
+    # back 769: the upper bits in the second byte
+    assert codecs.xpress8_block(literals + bytes([1, 1, 3 << 3 | 5]), 1032) == far + far[255:263]
+    with pytest.raises(ValueError, match="before"):
+        codecs.xpress8_block(bytes([1, 9, 0]), 5)
+    assert codecs.xpress8_block(b"\0abc", 9) == b"abc" and codecs.xpress8_block(b"\0abc", 2) == b"ab" and codecs.xpress8_block(b"", 4) == b""
+
+
+def test_a_segment_that_is_cut_short():
+    with pytest.raises(ValueError, match="packed"):
+        codecs.segment_ids(np.array([[codecs.PACKED, 9]], "<u4"), np.ones(1, "<u8"), codecs.SegmentInfo(0, 9, 32, 9))
+
+
+def test_huffman_texts_against_a_bit_at_a_time():
+    r = random.Random(4)
+    lengths = np.zeros(256, int)
+    for k, s in enumerate(b"abcdefgh"):
+        lengths[s] = min(k + 1, 7)
+    codes = codecs.huffman_codes(lengths)
+    of = {s: [c >> n - 1 - k & 1 for k in range(n)] for (n, c), s in codes.items()}
+    texts = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(20))) for _ in range(200)]
+    bits, begins = [], []
+    for t in texts:
+        begins.append(len(bits))
+        bits += [b for c in t.encode() for b in of[c]]
+    ends = [*begins[1:], len(bits)]
+    assert codecs.huffman_texts(codes, np.array(bits, np.uint8), np.array(begins), np.array(ends)) == texts
+    assert codecs.huffman_texts({}, np.zeros(0, np.uint8), np.zeros(2, int), np.zeros(2, int)) == ["", ""]
+
+
 def test_a_compressed_model_needs_a_codec():
     data = "This backup was created using XPress9 compression.".encode("utf-16-le").ljust(codecs.SIGNATURE, b"\0") + struct.pack("<II", 5, 5) + b"hello" + struct.pack("<II", 2, 2) + b"!!"
     with pytest.raises(codecs.CodecMissing):
@@ -243,8 +278,10 @@ def test_table(spark, tmp_path):
     key = lambda t: tuple(str(x) for x in t)
     assert sorted(map(tuple, source.collect()), key=key) == sorted(want, key=key)
     assert sorted(map(tuple, store.read_table(spark, path, "Sales & More").collect()), key=key) == sorted(want, key=key)
+    by_uri = spark.read.format("tabular_store").option("path", f"file://{path}").option("table", "Sales & More").load()
+    assert by_uri.count() == len(want)
     assert source.filter("Flag").select("Count").count() == sum(w[4] for w in want)
-    assert store.table_names(path) == ["Sales & More"]
+    assert store.table_names(spark, path) == ["Sales & More"]
     with pytest.raises(Exception, match="no table"):
         spark.read.format("tabular_store").option("path", path).option("table", "H$Sales").load().count()
 
