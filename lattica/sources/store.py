@@ -112,11 +112,29 @@ def metadata(archive: Archive) -> sqlite3.Connection:
     return db
 
 
-def _rows(db: sqlite3.Connection, table: str, *columns: int) -> list[tuple]:
-    """(rowid, the columns at these places) of a table; a table that isn't there has none."""
-    if not db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (table,)).fetchone():
+# The metadata's columns by table, with the places that they have where they go by no name.
+COLUMNS = {
+    "Table": {"Name": 2, "Description": 4, "IsHidden": 5},
+    "Column": {"TableID": 1, "ExplicitName": 2, "ExplicitDataType": 4, "Description": 7, "IsHidden": 8, "ColumnStorageID": 18, "Type": 19, "Expression": 22},
+    "ColumnStorage": {"DictionaryStorageID": 4},
+    "DictionaryStorage": {"BaseId": 5, "Magnitude": 6, "StorageFileID": 12},
+    "ColumnPartitionStorage": {"ColumnStorageID": 1, "StorageFileID": 6},
+    "StorageFile": {"FileName": 4},
+    "AttributeHierarchy": {"ColumnID": 1, "AttributeHierarchyStorageID": 3},
+    "Measure": {"TableID": 1, "Name": 2, "Description": 3, "Expression": 5, "FormatString": 6, "IsHidden": 7},
+    "Relationship": {"IsActive": 3, "CrossFilteringBehavior": 5, "FromTableID": 8, "FromColumnID": 9, "FromCardinality": 10, "ToTableID": 11, "ToColumnID": 12, "ToCardinality": 13},
+    "Role": {"Name": 2},
+    "TablePermission": {"RoleID": 1, "TableID": 2, "FilterExpression": 3},
+}
+
+
+def _rows(db: sqlite3.Connection, table: str, *columns: str) -> list[tuple]:
+    """(rowid, these columns) of a table, by their names where the table has them, else by their places; a table that isn't there has none."""
+    names = [r[1] for r in db.execute(f'PRAGMA table_info("{table}")')]
+    if not names:
         return []
-    return [(r[0], *(r[1 + c] if 1 + c < len(r) else None for c in columns)) for r in db.execute(f'SELECT rowid, * FROM "{table}"')]
+    at = [names.index(c) if c in names else COLUMNS[table][c] for c in columns]
+    return [(r[0], *(r[1 + k] if 1 + k < len(r) else None for k in at)) for r in db.execute(f'SELECT rowid, * FROM "{table}"')]
 
 
 @dataclass
@@ -140,17 +158,17 @@ def _internal(name: str) -> bool:
 
 def stored_tables(db: sqlite3.Connection) -> dict[str, list[StoredColumn]]:
     """Columns by table: those of types 1 and 2, without the store's own tables; all partitions of a column."""
-    names = {i: _plain(n) for i, n in _rows(db, "Table", 2)}
-    files = {i: n for i, n in _rows(db, "StorageFile", 4)}
-    storage = {i: d for i, d in _rows(db, "ColumnStorage", 4)}
-    words = {i: (b, m, f) for i, b, m, f in _rows(db, "DictionaryStorage", 5, 6, 12)}
+    names = {i: _plain(n) for i, n in _rows(db, "Table", "Name")}
+    files = {i: n for i, n in _rows(db, "StorageFile", "FileName")}
+    storage = {i: d for i, d in _rows(db, "ColumnStorage", "DictionaryStorageID")}
+    words = {i: (b, m, f) for i, b, m, f in _rows(db, "DictionaryStorage", "BaseId", "Magnitude", "StorageFileID")}
     parts: dict[int, list[str]] = {}
-    for _, column, file in sorted(_rows(db, "ColumnPartitionStorage", 1, 6)):
+    for _, column, file in sorted(_rows(db, "ColumnPartitionStorage", "ColumnStorageID", "StorageFileID")):
         if file in files:
             parts.setdefault(column, []).append(files[file])
-    indexed = {c for _, c, s in _rows(db, "AttributeHierarchy", 1, 3) if s is not None}
+    indexed = {c for _, c, s in _rows(db, "AttributeHierarchy", "ColumnID", "AttributeHierarchyStorageID") if s is not None}
     out: dict[str, list[StoredColumn]] = {}
-    for i, table, name, kind, stored, own in _rows(db, "Column", 1, 2, 4, 18, 19):
+    for i, table, name, kind, stored, own in _rows(db, "Column", "TableID", "ExplicitName", "ExplicitDataType", "ColumnStorageID", "Type"):
         if own not in (1, 2) or table not in names or _internal(names[table]) or stored not in storage or stored not in parts:
             continue
         base, magnitude, file = words.get(storage[stored], (0, 1, None))
@@ -314,10 +332,10 @@ def model_rows(db: sqlite3.Connection, model_id: str) -> dict[str, list[tuple]]:
     from lattica.functions.text import TYPE_NAMES
 
     kinds = dict(TYPE_NAMES)
-    all_names = {i: _plain(n) or f"Table_{i}" for i, n in _rows(db, "Table", 2)}
-    tables = [(i, all_names[i], _plain(d), bool(h)) for i, _, d, h in _rows(db, "Table", 2, 4, 5) if not _internal(all_names[i])]
+    all_names = {i: _plain(n) or f"Table_{i}" for i, n in _rows(db, "Table", "Name")}
+    tables = [(i, all_names[i], _plain(d), bool(h)) for i, _, d, h in _rows(db, "Table", "Name", "Description", "IsHidden") if not _internal(all_names[i])]
     seen = {i: n for i, n, _, _ in tables}
-    columns = _rows(db, "Column", 1, 2, 4, 7, 8, 19, 22)
+    columns = _rows(db, "Column", "TableID", "ExplicitName", "ExplicitDataType", "Description", "IsHidden", "Type", "Expression")
     column_names = {i: _plain(n) for i, _, n, *_ in columns}
     out: dict[str, list[tuple]] = {"models": [(model_id, "Untitled Model", 0, "", "pbix")]}
     out["tables"] = [(model_id, k, n, "import", h, d) for k, (_, n, d, h) in enumerate(tables)]
@@ -326,14 +344,14 @@ def model_rows(db: sqlite3.Connection, model_id: str) -> dict[str, list[tuple]]:
         for k, (_, t, n, kind, d, h, own, e) in enumerate(columns)
         if t in seen and own != 3
     ]
-    out["measures"] = [(model_id, seen[t], k, _plain(n), _plain(e), _plain(f), "", _plain(d), bool(h)) for k, (_, t, n, d, e, f, h) in enumerate(_rows(db, "Measure", 1, 2, 3, 5, 6, 7)) if t in seen]
+    out["measures"] = [(model_id, seen[t], k, _plain(n), _plain(e), _plain(f), "", _plain(d), bool(h)) for k, (_, t, n, d, e, f, h) in enumerate(_rows(db, "Measure", "TableID", "Name", "Description", "Expression", "FormatString", "IsHidden")) if t in seen]
     many = lambda v: "many" if v == 2 else "one"
     cards = {("many", "one"): "manyToOne", ("one", "many"): "oneToMany", ("many", "many"): "manyToMany", ("one", "one"): "oneToOne"}
     out["relationships"] = [
         (model_id, k, seen[ft], column_names.get(fc, ""), seen[tt], column_names.get(tc, ""), cards[many(fn), many(tn)], "both" if cross == 2 else "single", active != 0)
-        for k, (_, active, cross, ft, fc, fn, tt, tc, tn) in enumerate(_rows(db, "Relationship", 3, 5, 8, 9, 10, 11, 12, 13))
+        for k, (_, active, cross, ft, fc, fn, tt, tc, tn) in enumerate(_rows(db, "Relationship", "IsActive", "CrossFilteringBehavior", "FromTableID", "FromColumnID", "FromCardinality", "ToTableID", "ToColumnID", "ToCardinality"))
         if ft in seen and tt in seen
     ]
-    roles = {i: _plain(n) for i, n in _rows(db, "Role", 2)}
-    out["role_permissions"] = [(model_id, roles[r], k, all_names.get(t, ""), _plain(f)) for k, (_, r, t, f) in enumerate(_rows(db, "TablePermission", 1, 2, 3)) if r in roles]
+    roles = {i: _plain(n) for i, n in _rows(db, "Role", "Name")}
+    out["role_permissions"] = [(model_id, roles[r], k, all_names.get(t, ""), _plain(f)) for k, (_, r, t, f) in enumerate(_rows(db, "TablePermission", "RoleID", "TableID", "FilterExpression")) if r in roles]
     return out

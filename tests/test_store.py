@@ -112,17 +112,21 @@ def archive_bytes(files, trimmed=False, packed=False, wide_log=True):
     return bytes(body + told)
 
 
-def metadata_bytes():
+def metadata_bytes(named=False):
+    """Tables whose columns go by their places, or by name in another order."""
     db = sqlite3.connect(":memory:")
     widths = {"Table": 8, "Column": 24, "ColumnStorage": 12, "DictionaryStorage": 14, "ColumnPartitionStorage": 8, "StorageFile": 6, "AttributeHierarchy": 5, "AttributeHierarchyStorage": 11, "Measure": 9, "Relationship": 15, "Role": 4, "TablePermission": 5}
+    name_of = {t: {k: c for c, k in store.COLUMNS.get(t, {}).items()} if named else {} for t in widths}
+    column = lambda t, k: name_of[t].get(k, f"c{k}")
     for t, n in widths.items():
-        db.execute(f'CREATE TABLE "{t}" (' + ", ".join(f"c{k}" for k in range(n)) + ")")
+        order = range(n)[::-1] if named else range(n)
+        db.execute(f'CREATE TABLE "{t}" (' + ", ".join(column(t, k) for k in order) + ")")
 
     def put(t, rowid, **at):
         values = [None] * widths[t]
         for k, v in at.items():
             values[int(k[1:])] = v
-        db.execute(f'INSERT INTO "{t}" (rowid, ' + ", ".join(f"c{k}" for k in range(widths[t])) + ") VALUES (?" + ", ?" * widths[t] + ")", (rowid, *values))
+        db.execute(f'INSERT INTO "{t}" (rowid, ' + ", ".join(column(t, k) for k in range(widths[t])) + ") VALUES (?" + ", ?" * widths[t] + ")", (rowid, *values))
 
     put("Table", 1, _2="Sales &amp; More", _4="about", _5=0)
     put("Table", 2, _2="H$Sales", _5=1)
@@ -286,6 +290,14 @@ def test_table(spark, tmp_path):
         spark.read.format("tabular_store").option("path", path).option("table", "H$Sales").load().count()
 
 
+def test_metadata_by_name():
+    rows = []
+    for named in (False, True):
+        db = store.metadata(store.open_archive(archive_bytes({store.METADATA: metadata_bytes(named)})))
+        rows.append((store.stored_tables(db), store.model_rows(db, "m")))
+    assert rows[0] == rows[1] and len(rows[0][0]["Sales & More"]) == 7
+
+
 def test_a_missing_dictionary_is_an_error():
     files, _ = store_files()
     del files["Code.dict"]
