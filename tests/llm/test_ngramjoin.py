@@ -175,3 +175,30 @@ def test_words_that_polynomials_modulo_2_to_the_64_confuse(spark):
         rows += [(len(rows), word), (len(rows) + 1, other), (len(rows) + 2, word), (len(rows) + 3, f"x y {word}"), (len(rows) + 4, f"x y {other}")]
     got = ngramjoin.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=90, den=100).collect()
     assert sorted(map(tuple, got)) == brute(rows, 3, 90, 100)
+
+
+def test_a_chain_of_copies_with_a_few_apart(spark, monkeypatch):
+    # most of the chain is one star; the rest meets all blocks, and some of it is similar to sets of other blocks only
+    monkeypatch.setattr(ngramjoin, "BLOCK_BITMAPS", 8)
+    r = random.Random(12)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    rows = []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words)))
+
+    for _ in range(45):
+        own = list(base)
+        own[r.randrange(200)] = f"x{len(rows)}"
+        add(own)
+    for k in range(6):
+        add(base[: 100 + 10 * k] + [f"y{k} {j}" for j in range(60)])  # parts in common, but not similar
+    step = list(base)
+    for k in range(8):  # each similar to the one before it
+        step[5 + 20 * k : 8 + 20 * k] = [f"z{k}", f"z{k}a", f"z{k}b"]
+        add(step)
+    r.shuffle(rows)
+    got = ngramjoin.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=3, num=90, den=100).collect()
+    want = brute(rows, 3, 90, 100)
+    assert sorted(map(tuple, got)) == want
+    assert len({c for *_, c in want}) > 3
