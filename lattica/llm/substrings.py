@@ -10,8 +10,8 @@ A block sends at most FAN rows, whatever the size of the input. Where there are
 groups of ranges first, where parts of many blocks are merged into new blocks and dealt once more; starts of repeats go to
 shelves of ids in the same way.
 
-A window is known by 61 bits of one polynomial of its words and 32 of another, at points that are drawn anew for each run
-(bytetext): that any two different windows among n are taken for one has a probability below n * n / 2**89.
+A window is known by 61 bits of one polynomial of its words and 48 of another, at points that are drawn anew for each run
+(bytetext): that any two different windows among n are taken for one has a probability below n * n / 2**105.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ BLOCK_WORDS = 1_000_000
 RANGE_BYTES, SHELF_BYTES = 8 << 20, 32 << 20
 #: Most rows that a block sends.
 FAN = 4096
+#: Bytes that are kept of a window's second hash.
+CHECK = 6
 #: Starts of a row of a block's own repeats.
 REPEATS = 1 << 16
 #: Stands for a null id; it comes before every other.
@@ -65,7 +67,7 @@ def pack(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = None,
     move[1:] -= np.where(step[1:] == 0, move[:-1], 0)
     a, b = _planes(step), _planes(move.astype(np.int32))
     head = np.array([len(ids), len(a), len(b)], np.int32).tobytes()
-    return head + a + b + (hashes.view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8].tobytes() + checks.tobytes() if hashes is not None else b"")
+    return head + a + b + (hashes.view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8].tobytes() + checks.view(np.uint8).reshape(-1, 8)[:, :CHECK].tobytes() if hashes is not None else b"")
 
 
 def unpack(data: bytes, hashed: bool, part: int = 0, bits: int = 0):
@@ -88,7 +90,9 @@ def unpack(data: bytes, hashed: bool, part: int = 0, bits: int = 0):
     hashes = hashes.view(np.uint64).ravel()
     if wide < 8:
         hashes |= np.uint64(int(part) >> bits % 8 << 8 * wide)
-    return ids, starts.astype(np.int32), hashes, np.frombuffer(data, np.uint32, n, at + wide * n)
+    checks = np.zeros((n, 8), np.uint8)
+    checks[:, :CHECK] = np.frombuffer(data, np.uint8, CHECK * n, at + wide * n).reshape(n, CHECK)
+    return ids, starts.astype(np.int32), hashes, checks.view(np.uint64).ravel()
 
 
 class _Block:
@@ -163,7 +167,7 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, window: int) ->
                 first, second = (windows(words.hashes(kit, family=f), window, kit, f) for f in range(2))
                 ok = np.flatnonzero(words.room()[: len(first)] >= window)
                 row = words.row_of_word()[ok]
-                block.add(ids[row], (ok - words.first[row]).astype(np.int32), first[ok], (second[ok] >> np.uint64(32)).astype(np.uint32))
+                block.add(ids[row], (ok - words.first[row]).astype(np.int32), first[ok], second[ok] >> np.uint64(64 - 8 * CHECK))
             if block.windows >= block_words:
                 yield _batch(list(block.out()), packed_names, packed_kinds)
                 release()

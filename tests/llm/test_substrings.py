@@ -48,7 +48,7 @@ def test_against_brute_force(spark, monkeypatch):
 def test_pack_round_trip():
     ids = np.array([-(1 << 63), -5, -5, 3, 3, 3, 1 << 62], np.int64)
     starts = np.array([7, 0, 9, 1, 2, 100000, 4], np.int32)
-    hashes, checks = np.arange(7, dtype=np.uint64), np.arange(7, 14, dtype=np.uint32)
+    hashes, checks = np.arange(7, dtype=np.uint64), np.arange(7, 14, dtype=np.uint64) << np.uint64(40)
     for bits in (0, 1, 8, 11, 16, 22):
         known = hashes | np.uint64(0x123456789ABCDEF0 >> 64 - bits << 64 - bits if bits else 0)
         part = int(known[0]) >> 64 - bits if bits else 0
@@ -80,7 +80,7 @@ def test_what_a_block_sends_does_not_grow_with_the_ranges():
     r = np.random.default_rng(1)
     n = 1_000_000
     ids, starts = np.arange(n // 400).repeat(400), np.tile(np.arange(400, dtype=np.int32), n // 400)
-    hashes, checks = r.integers(0, 1 << 64, n, np.uint64), r.integers(0, 1 << 32, n, np.uint32)
+    hashes, checks = r.integers(0, 1 << 64, n, np.uint64), r.integers(0, 1 << 48, n, np.uint64)
     sent = {}
     for ranges in (16, 333_333, 10_000_000):
         block = substrings._Block(substrings.levels(ranges, substrings.FAN)[0])
