@@ -154,6 +154,7 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
 def repeated_starts(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(id long, starts binary), a row for each id that has any: the starts, as 32-bit numbers, of windows whose words also start earlier."""
     size, seed, block_words = staging.plan_bytes(docs), new_seed(), BLOCK_WORDS
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges, shelves = (levels(staging.pieces_for(docs, each), FAN) for each in (RANGE_BYTES, SHELF_BYTES))
     packed_names, packed_kinds = ["part", "fresh", "entries"], [pa.int64(), pa.bool_(), pa.binary()]
 
@@ -240,6 +241,10 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, window: int) ->
         cuts = np.append(np.flatnonzero(np.diff(ids, prepend=ids[0] ^ 1)), len(ids))
         return pd.DataFrame({"id": ids[cuts[:-1]], "starts": [np.unique(starts[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
 
+    def tasks(bits: int) -> int:
+        """Four parts to a task, whatever the session's number of shuffle partitions, so a task's share doesn't grow with the input."""
+        return min(max(least, (1 << bits) // 4), 1 << 20)
+
     def dealt(rows: DataFrame, bits: int, each: int) -> DataFrame:
         """Rows of one part in as many tasks as its bytes ask for."""
         parts = 1 << bits
@@ -250,10 +255,10 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, window: int) ->
     packed = source.mapInArrow(scan, "part long, fresh boolean, entries binary")
     for level in range(1, len(ranges)):
         packed = dealt(packed, ranges[level - 1], RANGE_BYTES).mapInArrow(deal_again(level), "part long, fresh boolean, entries binary")
-    found = packed.groupBy("part").applyInPandas(find, "part long, entries binary")
+    found = packed.repartition(tasks(ranges[-1]), "part").groupBy("part").applyInPandas(find, "part long, entries binary")
     for level in range(1, len(shelves)):
         found = dealt(found, shelves[level - 1], SHELF_BYTES).mapInArrow(shelve_again(level), "part long, entries binary")
-    return found.groupBy("part").applyInPandas(gather, "id long, starts binary")
+    return found.repartition(tasks(shelves[-1]), "part").groupBy("part").applyInPandas(gather, "id long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
