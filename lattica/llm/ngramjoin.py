@@ -3,9 +3,8 @@
 Two sets of x <= y shingles whose Jaccard similarity is at least num/den differ in at most x * (den - num) / num shingles.
 In a size band all sets are cut into the same number of parts, more than that; so two similar sets agree in whole parts,
 and one of the first few that aren't empty is among them. The parts hold the rarer shingles, as far as these suffice. Sets that agree in a part are candidates; chains of candidates
-in a band are compared by hashed bitmaps: the bits in which two differ bound the overlap from above. Each set meets the one
-that it shares most parts with first; only what the bitmaps then leave apart from most of its chain meets the whole chain,
-a block at a time. What the bitmaps leave connected makes a tile; only sets in tiles of two or more are looked at again. In a tile, pairs that the bitmaps
+in a band are compared by hashed bitmaps: the bits in which two differ bound the overlap from above. What the bitmaps
+leave connected makes a tile; only sets in tiles of two or more are looked at again. In a tile, pairs that the bitmaps
 don't rule out, and that aren't connected already, are decided by intersecting the sorted arrays. Large tiles are dealt
 to blocks: each block also has the tile's pivot, the set that shares parts with the most others, and what isn't connected
 to the pivot afterwards meets all other blocks, a block at a time.
@@ -27,7 +26,7 @@ from lattica.llm import components, decontam, staging
 from lattica.llm.bytetext import U64, Kit, Words, mix, new_seed, nonspace_bytes, slices, string_view, windows
 
 #: Bitmaps in a block of a tile; sets in a block of a tile, and shingles.
-BLOCK_BITMAPS, BLOCK, BLOCK_SHINGLES = 1024, 4096, 2_000_000
+BLOCK_BITMAPS, BLOCK, BLOCK_SHINGLES = 8192, 4096, 2_000_000
 #: Parts of a band for each part that its largest sets need: of all shingles, and of the rarer ones; and so many more.
 SPARE, SPARE_RARE, SPARE_LEAST = 1.15, 2.6, 8
 #: Bands of sets no larger than this have a part for each shingle: few shingles in few parts would too often meet in one.
@@ -232,61 +231,14 @@ def _bit_rows(bits) -> np.ndarray:
 
 
 def _refine_rows(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Pairs of nodes that connect what the bitmaps of a block, or of two, don't rule out and what isn't of one label already."""
-    pdf = pdf.drop_duplicates(["node", "side"])
-    node, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
-    _, group = np.unique(pdf["label"].to_numpy(), return_inverse=True)
-    found = links(pdf["n"].to_numpy(np.int64), _bit_rows(pdf["bits"].tolist()), None, group, side if len(np.unique(side)) > 1 or pdf["crossed"].iloc[0] else None, [], num, den)
+    """Pairs of nodes that connect what the bitmaps of a block, or of two, don't rule out."""
+    pdf = pdf.drop_duplicates("node")
+    node, block = pdf["node"].to_numpy(), pdf["block"].to_numpy()
+    side = block if pdf["low"].iloc[0] != pdf["high"].iloc[0] else None
+    found = links(pdf["n"].to_numpy(np.int64), _bit_rows(pdf["bits"].tolist()), None, np.arange(len(pdf)), side, [], num, den)
     return pd.DataFrame({"a": node[[i for i, _ in found]], "b": node[[j for _, j in found]]})
 
 
-def _chained(met: DataFrame, banded: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of nodes that connect all whose bitmaps don't rule out that they are similar.
-
-    met has (node, root, met): nodes that agree in parts with a root. A chain's nodes of one label are connected already.
-    Where most have the chain's first label, the others, dealt to blocks, meet all blocks; else each block meets each.
-    """
-
-    def tested(batches):
-        for batch in batches:
-            sizes, others = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
-            ok = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())):
-                differ = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum(dtype=np.int64))
-                bound = (int(sizes[k]) + int(others[k]) - differ) // 2
-                ok[k] = den * bound >= num * (int(sizes[k]) + int(others[k]) - bound)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
-
-    chains = components.connected(met, "node", "root")
-    # equal sets that several tasks told have equal bitmaps
-    nodes = staging.written(banded.join(chains, "node").groupBy("node").agg(F.min("least").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits")))
-    nearest = met.filter("node <> root").groupBy("node").agg(F.max_by("root", F.struct("met", "root")).alias("root"))
-    roots = nodes.select(F.col("node").alias("root"), F.col("n").alias("root_n"), F.col("bits").alias("root_bits"))
-    stars = nearest.join(nodes, "node").join(roots, "root").select("node", "root", "n", "bits", "root_n", "root_bits")
-    stars = staging.written(stars.mapInArrow(tested, "a long, b long"))
-    above = stars.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    label = stars.join(above, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("label"))
-    labelled = nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    shares = labelled.groupBy("least", "label").agg(F.count(F.lit(1)).alias("share"))
-    heads = shares.groupBy("least").agg(F.sum("share").alias("total"), F.max(F.struct("share", "label")).alias("most"))
-    block = lambda c: F.ceil(c / BLOCK_BITMAPS)
-    heads = heads.select("least", F.col("most.label").alias("most"), block(F.col("total")).alias("blocks"), block(F.col("total") - F.col("most.share")).alias("lone_blocks"), (2 * (F.col("total") - F.col("most.share")) < F.col("total")).alias("few"))
-    heads = staging.written(heads.filter("lone_blocks > 0").withColumn("crossed", F.col("few") & (F.col("blocks") > 1)).drop("few"))
-
-    placed = labelled.join(heads, "least").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    to = lambda low, high, side: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), side.cast("long").alias("side"))
-    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    own = F.col("block")
-    both = F.transform(every("blocks"), lambda o: to(F.least(own, o), F.greatest(own, o), own))
-    met_by = F.transform(every("lone_blocks"), lambda o: to(o, own, F.lit(1)))
-    meets = F.transform(every("blocks"), lambda o: to(F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("lone_blocks")), o, F.lit(0)))
-    where = F.when(~F.col("crossed"), both).when(F.col("label") == F.col("most"), met_by).otherwise(F.concat(met_by, meets))
-    dealt = placed.join(nodes.select("node", "n", "bits"), "node").select("least", "label", "crossed", "node", "n", "bits", F.explode(where).alias("to"))
-    dealt = dealt.select("least", "label", "crossed", "node", "n", "bits", "to.*")
-    found = staging.written(dealt.groupBy("least", "low", "high").applyInPandas(lambda pdf: _refine_rows(pdf, num, den), "a long, b long"))
-    return stars.unionByName(found)
-
-
 def _link_rows(pdf: pd.DataFrame, num: int, den: int, crossed: bool) -> pd.DataFrame:
     """Pairs of ids that connect what similar sets of a block, or of two, connect."""
     pdf = pdf.drop_duplicates(["id", "k1", "k2"] + (["side"] if crossed else []))
@@ -373,14 +325,19 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, words: int, num: i
     node = F.xxhash64("k1", "band").alias("node")
     banded = scanned.select("k1", F.col("n").cast("int").alias("n"), F.explode("bands").alias("b")).select("n", "k1", F.col("b.band").alias("band"), "b.keys", "b.bits")
     keys = banded.select(node, "n", F.explode("keys").alias("key"))
-    # ends are aggregated before they are shuffled, and the join of a key with very many sets can be split; written, their
-    # shuffle is freed and their size is known: most keys are one set's alone, so few are left
+    # ends are aggregated before they are shuffled; written, their shuffle is freed before the join, whose tasks for a key
+    # with very many sets can be split: they are merged, not broadcast, as the driver's memory is no measure of theirs
     ends = staging.written(keys.groupBy("key").agg(F.min("node").alias("root"), F.max("node").alias("top")).filter("root <> top").drop("top"))
-    met = keys.join(ends, "key")
+    met = keys.join(ends.hint("merge"), "key")
     met = staging.written(met.groupBy("node", "root").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n")))
 
     # chains of candidates, cut where the bitmaps rule out every link
-    refined = _chained(met, banded.select(node, "n", "bits"), num, den)
+    chains = components.connected(met, "node", "root")
+    sizes = staging.written(chains.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / BLOCK_BITMAPS).alias("blocks")))
+    marked = banded.select(node, "n", "bits").join(chains, "node").join(sizes, "least").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    paired = marked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    paired = paired.select("least", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "bits")
+    refined = staging.written(paired.groupBy("least", "low", "high").applyInPandas(lambda pdf: _refine_rows(pdf, num, den), "a long, b long"))
     staging.drop_folder(spark, parts_path)
     tiles = components.connected(refined, "a", "b")
     weight = met.groupBy("node").agg(F.sum("met").alias("met"), F.max("n").alias("n"))
