@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import contextlib
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lattica.llm import staging
 
 
-#: Edge tables of fewer bytes are planned once: joins of so few rows need no splitting, and adaptive plans cost the driver a thread
-#: for each exchange.
-PLANNED_ONCE = 32 << 20
-ADAPTIVE = "spark.sql.adaptive.enabled"
-
-
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, least): for each node of the undirected edges (a, b), the least node that it reaches.
 
@@ -24,34 +16,22 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     high, low = F.greatest(a, b), F.least(a, b)
     now = staging.written(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(high.alias("u"), low.alias("v")).distinct())
-    with _planned_once(now):
-        while not _stars(now):
-            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            # written, so that the join's tasks for a node with very many neighbours can be split
-            pointed = staging.written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-            large = both.filter("v > u").join(pointed, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            least = large.groupBy("u").agg(F.min("v").alias("m"))
-            moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            following = staging.written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-            staging.drop(pointed)
-            staging.drop(now)
-            now = following
+    while not _stars(now):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # written, so that the join's tasks for a node with very many neighbours can be split
+        pointed = staging.written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = both.filter("v > u").join(pointed, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following = staging.written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        staging.drop(pointed)
+        staging.drop(now)
+        now = following
+    # what the rounds have broadcast and shuffled goes when the driver collects garbage, by itself every half hour only
+    edges.sparkSession._jvm.System.gc()
     return now.select(F.col("u").alias("node"), F.col("v").alias("least")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct())
 
 
-@contextlib.contextmanager
-def _planned_once(edges: DataFrame):
-    """Turns adaptive planning off inside where the edges are few; they never become more."""
-    spark: SparkSession = edges.sparkSession
-    before = spark.conf.get(ADAPTIVE)
-    if 0 < staging.plan_bytes(edges) < PLANNED_ONCE:
-        spark.conf.set(ADAPTIVE, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(ADAPTIVE, before)
-
-
 def _stars(edges: DataFrame) -> bool:
     """Whether every node points at one node that points at none: then nothing is left to do."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("points")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("points")))
