@@ -27,6 +27,8 @@ from lattica.llm.bytetext import U64, Kit, Words, mix, new_seed, nonspace_bytes,
 
 #: Bitmaps in a block of a tile; sets in a block of a tile, and shingles.
 BLOCK_BITMAPS, BLOCK, BLOCK_SHINGLES = 8192, 4096, 2_000_000
+#: Rows of small chains that are looked at together.
+GROUPED = 2048
 #: Parts of a band for each part that its largest sets need: of all shingles, and of the rarer ones; and so many more.
 SPARE, SPARE_RARE, SPARE_LEAST = 1.15, 2.6, 8
 #: Bands of sets no larger than this have a part for each shingle: few shingles in few parts would too often meet in one.
@@ -195,13 +197,25 @@ def bitmap(hashes: np.ndarray, most: int) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def links(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None, group: np.ndarray, side: np.ndarray | None, first: list[int], num: int, den: int) -> list[tuple[int, int]]:
+def _meetings(meets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, spots, members): set i is in the meetings spots[at[i]:at[i + 1]], and meeting s has the sets members[s[0]:s[1]]."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in meets])]).astype(np.int64)
+    _, name = np.unique(np.concatenate([np.zeros(0, np.int64), *meets]), return_inverse=True)
+    order = np.argsort(name, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(name))]).astype(np.int64)
+    return at, np.stack([ends[name], ends[name + 1]], axis=1), np.repeat(np.arange(len(meets)), np.diff(at))[order]
+
+
+def links(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None, group: np.ndarray, side: np.ndarray | None, first: list[int], num: int, den: int, meets=None) -> list[tuple[int, int]]:
     """Pairs that connect all that similar pairs connect; without sets, all that the bitmaps don't rule out.
 
     group: sets of the same number are connected already. side: where given, only pairs of different sides count.
-    first: sets that are compared with all others before the rest.
+    first: sets that are compared with all others before the rest. meets: where given, an array of numbers for each set;
+    only pairs that have one in common need to be compared.
     """
     group, out = group.copy(), []
+    if meets is not None:
+        at, spots, members = _meetings(meets)
     order = np.argsort(size, kind="stable")
     ranked = size[order]
     done = np.zeros(len(size), bool)
@@ -210,6 +224,12 @@ def links(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None, gro
         low = np.searchsorted(ranked, -(-size[i] * num // den), "left")
         high = np.searchsorted(ranked, size[i] * den // num, "right")
         near = order[low:high]
+        if meets is not None:
+            own = spots[at[i] : at[i + 1]]
+            # several large meetings of the same sets may name more sets than there are
+            if (own[:, 1] - own[:, 0]).sum() < len(near):
+                near = np.unique(np.concatenate([members[a:b] for a, b in own.tolist()] or [near[:0]]))
+                near = near[(size[near] >= -(-size[i] * num // den)) & (size[near] <= size[i] * den // num)]
         near = near[(group[near] != group[i]) & ~done[near]]
         if side is not None:
             near = near[side[near] != side[i]]
@@ -235,7 +255,8 @@ def _refine_rows(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     pdf = pdf.drop_duplicates("node")
     node, block = pdf["node"].to_numpy(), pdf["block"].to_numpy()
     side = block if pdf["low"].iloc[0] != pdf["high"].iloc[0] else None
-    found = links(pdf["n"].to_numpy(np.int64), _bit_rows(pdf["bits"].tolist()), None, np.arange(len(pdf)), side, [], num, den)
+    meets = [np.asarray(x, np.int64) for x in pdf["meets"]]
+    found = links(pdf["n"].to_numpy(np.int64), _bit_rows(pdf["bits"].tolist()), None, np.arange(len(pdf)), side, [], num, den, meets)
     return pd.DataFrame({"a": node[[i for i, _ in found]], "b": node[[j for _, j in found]]})
 
 
@@ -327,17 +348,16 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, words: int, num: i
     keys = banded.select(node, "n", F.explode("keys").alias("key"))
     # ends are aggregated before they are shuffled; written, their shuffle is freed before the join, whose tasks for a key
     # with very many sets can be split: they are merged, not broadcast, as the driver's memory is no measure of theirs
-    ends = staging.written(keys.groupBy("key").agg(F.min("node").alias("root"), F.max("node").alias("top")).filter("root <> top").drop("top"))
+    # keys that the same sets have are one meeting; a meeting of others with the same name only costs comparisons
+    meeting = F.xxhash64("root", "top", "rows", "mark").alias("meeting")
+    told = keys.groupBy("key").agg(F.min("node").alias("root"), F.max("node").alias("top"), F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("node")).alias("mark"))
+    ends = staging.written(told.filter("root <> top").select("key", "root", meeting, (F.col("rows") > BLOCK_BITMAPS).alias("large")))
     met = keys.join(ends.hint("merge"), "key")
-    met = staging.written(met.groupBy("node", "root").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n")))
+    met = staging.written(met.groupBy("node", "root", "large").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n"), F.collect_set("meeting").alias("meets")))
 
-    # chains of candidates, cut where the bitmaps rule out every link
-    chains = components.connected(met, "node", "root")
-    sizes = staging.written(chains.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / BLOCK_BITMAPS).alias("blocks")))
-    marked = banded.select(node, "n", "bits").join(chains, "node").join(sizes, "least").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    paired = marked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    paired = paired.select("least", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "bits")
-    refined = staging.written(paired.groupBy("least", "low", "high").applyInPandas(lambda pdf: _refine_rows(pdf, num, den), "a long, b long"))
+    # chains of candidates; sets that meet are compared, and what the bitmaps rule out isn't linked
+    paired = _paired(met, banded.select(node, "n", "bits"))
+    refined = staging.written(paired.groupBy(F.length("bits"), "least", "low", "high").applyInPandas(lambda _, pdf: _refine_rows(pdf, num, den), "a long, b long"))
     staging.drop_folder(spark, parts_path)
     tiles = components.connected(refined, "a", "b")
     weight = met.groupBy("node").agg(F.sum("met").alias("met"), F.max("n").alias("n"))
@@ -389,6 +409,37 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str, words: int, num: i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component"))
 
 
+def _paired(met: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Rows of nodes for _refine_rows: every two nodes that share a meeting are together in the rows of some (least, low, high).
+
+    Bitmaps of one length are compared. Chains of up to BLOCK_BITMAPS nodes are rows of one block. Larger ones are dealt by meeting, some BLOCK_BITMAPS rows
+    to a block, so chains that chance agreements join aren't compared in whole. Nodes that meetings of more rows join
+    are compared in whole, in blocks.
+    """
+    each = met.filter("not large").groupBy("node").agg(F.flatten(F.collect_list("meets")).alias("meets"))
+    chains = components.connected(met.filter("not large"), "node", "root")
+    dealt = each.join(chains, "node")
+    rows = F.sum(F.size("meets"))
+    counts = F.when(F.count(F.lit(1)) <= BLOCK_BITMAPS, 1).otherwise(F.ceil(rows / BLOCK_BITMAPS))
+    sizes = staging.written(dealt.groupBy("least").agg(counts.cast("long").alias("blocks")))
+    spots = F.transform("meets", lambda m: F.struct(F.pmod(F.xxhash64(m), F.col("blocks")).alias("low"), m.alias("meet")))
+    # a group of rows costs as much as many comparisons: chains of one block share groups, some GROUPED rows to each
+    shared = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("least"), F.lit(-(-each.count() // GROUPED) or 1))).otherwise(F.col("least")).alias("least")
+    dealt = dealt.join(sizes, "least").select(shared, "node", F.explode(spots).alias("s"))
+    dealt = dealt.groupBy("least", "node", F.col("s.low").alias("low")).agg(F.collect_list("s.meet").alias("meets"))
+    out = bitmaps.join(dealt, "node").select("least", "low", F.col("low").alias("high"), F.col("low").alias("block"), "node", "n", "bits", "meets")
+    large = met.filter("large")
+    if not large.limit(1).count():
+        return out
+    chains = components.connected(large, "node", "root")
+    sizes = staging.written(chains.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / BLOCK_BITMAPS).alias("blocks")))
+    marked = bitmaps.join(chains, "node").join(sizes, "least").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # numbers under 0, so that these blocks aren't those of the chain above whose least node is the same
+    marked = marked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    marked = marked.withColumn("block", -1 - F.col("block")).withColumn("other", -1 - F.col("other"))
+    return out.unionByName(marked.select("least", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "bits", F.array("least").alias("meets")))
+
+
 def _meet_all(source: DataFrame, classes: DataFrame, words: int, num: int, den: int, kind: str, seed: int) -> DataFrame:
     """Edges of the sets whose parts are too few with all other sets, in blocks."""
 

@@ -202,3 +202,18 @@ def test_a_chain_of_copies_with_a_few_apart(spark, monkeypatch):
     want = brute(rows, 3, 90, 100)
     assert sorted(map(tuple, got)) == want
     assert len({c for *_, c in want}) > 3
+
+
+def test_only_sets_that_meet_are_compared(monkeypatch):
+    """A chain of sets in which each agrees with the next one only: comparisons grow with its length, not with the square."""
+    n, compared = 400, []
+    size, bits = np.full(n, 100, np.int64), np.zeros((n, 2), np.uint64)
+    meets = [np.array([k, k + 1], np.int64) for k in range(n)]
+    count = np.bitwise_count
+    monkeypatch.setattr(ngramjoin.np, "bitwise_count", lambda x: compared.append(len(x)) or count(x))
+    found = ngramjoin.links(size, bits, None, np.arange(n), None, [], 80, 100, meets)
+    assert sorted(tuple(sorted(p)) for p in found) == [(k, k + 1) for k in range(n - 1)]
+    assert sum(compared) < 2 * n
+    # sets that are alike but don't meet aren't linked; those in one meeting of all are
+    assert ngramjoin.links(size, bits, None, np.arange(n), None, [], 80, 100, [m[:1] for m in meets]) == []
+    assert len(ngramjoin.links(size, bits, None, np.arange(n), None, [], 80, 100, [np.zeros(1, np.int64)] * n)) == n - 1
