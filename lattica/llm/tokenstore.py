@@ -27,8 +27,10 @@ from lattica.llm.bytetext import Kit, Powers, gram_hashes, lanes, mix, padded, p
 
 #: Ids that the rolling hash sees; one in MEAN ids ends a chunk; no chunk is longer than LONGEST.
 ROLL, MEAN, LONGEST = 16, 256, 4096
-#: Text pieces whose ids a Python worker remembers before it starts anew: about 50 MB.
-REMEMBERED = 1_000_000
+#: Text pieces whose ids a Python worker remembers before it starts anew: about 25 MB.
+REMEMBERED = 480_000
+#: Text bytes that are encoded at a time.
+ENCODED = 1 << 18
 #: Bytes of remembered pieces over 16 bytes, after which it also starts anew.
 HELD = 32 << 20
 #: Chunk names that a task remembers, so that it sends a chunk's ids once.
@@ -130,9 +132,8 @@ class Encoder:
             for i, e in zip(own, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in own], add_special_tokens=False)):
                 self.lengths[base + i], self.starts[base + i] = len(e.ids), self.filled
                 self._append(np.array(e.ids, np.int64))
-        self.keys, self.places = np.concatenate([self.keys, keys]), np.concatenate([self.places, base + np.arange(new)])
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.places = self.keys[order], self.places[order]
+        spot = np.searchsorted(self.keys, keys)
+        self.keys, self.places = np.insert(self.keys, spot, keys), np.insert(self.places, spot, base + np.arange(new))
 
     def _append(self, ids: np.ndarray) -> None:
         while len(self.flat) < self.filled + len(ids):
@@ -222,7 +223,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         wide = np.dtype(dtype).itemsize
         powers = Kit().gram
         sent: set[bytes] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, ENCODED):
             streams = [x.tobytes() + end for x in encoder.encode(batch.column(1))]
             bounds = np.concatenate([[0], np.cumsum([len(x) // wide for x in streams])])
             stops = cuts(np.frombuffer(b"".join(streams), dtype), bounds, powers)

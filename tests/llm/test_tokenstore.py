@@ -103,3 +103,13 @@ def test_one_key_for_two_pieces_goes_through_the_library(monkeypatch):
     for _ in range(2):
         for x, y in zip(encoder.encode(pa.array(texts)), whole(texts)):
             assert x.tolist() == y[:-1]
+
+
+def test_an_encoder_stays_small():
+    encoder, k, most = tokenstore.Encoder(contract.tokenizer_file(), "<u2"), 0, 0
+    for _ in range(16):
+        encoder.encode(pa.array([" ".join(f"{x:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for x in range(k, k + 40_000))]))
+        k += 40_000
+        own = (encoder.names, encoder.lengths, encoder.starts, encoder.keys, encoder.places, encoder.flat)
+        most = max(most, sum(x.nbytes for x in own))
+    assert most < 40 << 20
